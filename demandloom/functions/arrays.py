@@ -1,0 +1,25 @@
+"""Fixed-length horizon vectors (one double per future week)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, functions as F
+
+
+def horizon_vector(fn: Callable[[Column], Column], horizon: int = 8) -> Column:
+    """Array ``[fn(1), ..., fn(horizon)]``."""
+    return F.transform(F.sequence(F.lit(1), F.lit(horizon)), fn)
+
+
+def running_sums(values: Column, horizon: int = 8) -> Column:
+    """Prefix sums of a short array."""
+    return horizon_vector(
+        lambda h: F.aggregate(F.slice(values, 1, h), F.lit(0.0), lambda acc, x: acc + x), horizon
+    )
+
+
+def first_index(values: Column, predicate: Callable[[Column], Column]) -> Column:
+    """One-based index of the first element that satisfies ``predicate``; NULL when none does."""
+    position = F.array_position(F.transform(values, predicate), F.lit(True))
+    return F.when(position > 0, position.cast("int"))

@@ -1,0 +1 @@
+"""Placeholder: the analytics rebuilt here are batch only, so there is no streaming operator."""
