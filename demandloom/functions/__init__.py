@@ -1,21 +1,15 @@
 """Column expressions shared by the operators (all JVM side, no Python UDF)."""
 
-from .arrays import first_index, horizon_vector, running_sums
 from .dates import iso_year, season_name, week_label_monday, week_start
-from .numbers import corrected_kurtosis, corrected_skewness, half_even, ratio, text0, text1
+from .numbers import corrected_kurtosis, corrected_skewness, half_even, ratio
 
 __all__ = [
     "corrected_kurtosis",
     "corrected_skewness",
-    "first_index",
     "half_even",
-    "horizon_vector",
     "iso_year",
     "ratio",
-    "running_sums",
     "season_name",
-    "text0",
-    "text1",
     "week_label_monday",
     "week_start",
 ]

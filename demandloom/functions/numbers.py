@@ -14,16 +14,6 @@ def half_even(value: Column, digits: int = 0) -> Column:
     return F.bround(value, digits)
 
 
-def text0(value: Column) -> Column:
-    """Whole-number text, ties to even."""
-    return F.bround(value, 0).cast("bigint").cast("string")
-
-
-def text1(value: Column) -> Column:
-    """One-decimal text, ties to even."""
-    return F.bround(value, 1).cast("decimal(28,1)").cast("string")
-
-
 def corrected_skewness(value: Column) -> Column:
     """Bias-corrected sample skewness (NULL below three values)."""
     n = F.count(value).cast("double")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import half_even, text0, text1
-from .risk import HORIZON, THRESHOLD_STATUS, fill_template, lead_weeks
+from .risk import HORIZON, LEAD_WEEKS, THRESHOLD_STATUS, fill_template, one_decimal, quoted, whole
 
 # Codes, titles, priorities and thresholds of the published recommendation outputs.
 PRIORITIES = {
@@ -91,106 +90,85 @@ CASE_FIELDS = (
 )
 
 
-def confidence_status(available: Column, age_days: Column) -> Column:
-    return (
-        F.when(~available, "NO_DATA")
-        .when(age_days.isNull(), "MEDIUM_CONFIDENCE")
-        .when(age_days <= FRESH_DAYS, "HIGH_CONFIDENCE")
-        .when(age_days <= AGEING_DAYS, "MEDIUM_CONFIDENCE")
-        .otherwise("DEGRADED_CONFIDENCE")
-    )
+CONFIDENCE = (
+    "CASE WHEN NOT inventory_data_available THEN 'NO_DATA' WHEN days_since_snapshot IS NULL THEN 'MEDIUM_CONFIDENCE'"
+    f" WHEN days_since_snapshot <= {FRESH_DAYS} THEN 'HIGH_CONFIDENCE' WHEN days_since_snapshot <= {AGEING_DAYS} THEN 'MEDIUM_CONFIDENCE'"
+    " ELSE 'DEGRADED_CONFIDENCE' END"
+)
+# Shortage outranks surplus; a missing snapshot outranks both.
+CASE_RULE = (
+    "CASE WHEN action_tier = 'UNKNOWN' THEN 'missing'"
+    " WHEN action_tier = 'CRITICAL REORDER' THEN IF(On_Order > 0, 'expedite_open', 'expedite_new')"
+    " WHEN action_tier = 'REORDER' THEN IF(excess_inventory_units > 0, 'reorder_surplus', 'reorder')"
+    " WHEN action_tier = 'MONITOR' THEN 'monitor'"
+    " WHEN action_tier = 'OVERSTOCK' OR excess_weeks_of_cover > 0 THEN"
+    " CASE WHEN overstock_tier = 'CRITICAL' OR excess_weeks_of_cover > 6 THEN 'surplus_severe'"
+    " WHEN overstock_tier = 'HIGH' OR excess_weeks_of_cover > 2 THEN 'surplus_high' ELSE 'surplus_mild' END"
+    " ELSE 'balanced' END"
+)
 
 
-def decision_case(df_tier: Column, on_order: Column, excess_units: Column, excess_weeks: Column, overstock: Column) -> Column:
-    """Shortage outranks surplus; a missing snapshot outranks both."""
-    surplus = (
-        F.when((overstock == "CRITICAL") | (excess_weeks > 6), "surplus_severe")
-        .when((overstock == "HIGH") | (excess_weeks > 2), "surplus_high")
-        .otherwise("surplus_mild")
-    )
-    return (
-        F.when(df_tier == "UNKNOWN", "missing")
-        .when(df_tier == "CRITICAL REORDER", F.when(on_order > 0, "expedite_open").otherwise("expedite_new"))
-        .when(df_tier == "REORDER", F.when(excess_units > 0, "reorder_surplus").otherwise("reorder"))
-        .when(df_tier == "MONITOR", "monitor")
-        .when((df_tier == "OVERSTOCK") | (excess_weeks > 0), surplus)
-        .otherwise("balanced")
-    )
+def _at_least_one(quantity: str) -> str:
+    return f"greatest(1L, CAST(bround({quantity}, 0) AS BIGINT))"
 
 
-def _at_least_one(quantity: Column) -> Column:
-    return F.greatest(F.lit(1), half_even(quantity, 0).cast("bigint"))
+EMERGENCY_QTY = _at_least_one("greatest(Reorder_Point - Current_Stock, 4 * avg_weekly_demand)")
+REORDER_QTY = _at_least_one("greatest(Reorder_Point - ip_at_rp_breach + lead_time_demand, 4 * avg_weekly_demand)")
+ORDER_BY_WEEK = f"greatest(1, earliest_rp_breach_week - {LEAD_WEEKS})"
 
 
-def emergency_qty(reorder_point: Column, stock: Column, weekly: Column) -> Column:
-    return _at_least_one(F.greatest(reorder_point - stock, 4.0 * weekly))
+def decision_quantities(risk: DataFrame) -> DataFrame:
+    """Decision case, order quantities and order-by week for every risk row."""
+    ip = f"array({', '.join(f'ip_h{h}' for h in range(1, HORIZON + 1))})"
+    return risk.selectExpr(
+        "*", f"{CASE_RULE} AS _case", f"get({ip}, earliest_stockout_week - 1) AS ip_at_stockout",
+        f"get({ip}, earliest_rp_breach_week - 1) AS ip_at_rp_breach",
+    ).selectExpr(
+        "*", f"CASE WHEN _case = 'expedite_new' THEN {EMERGENCY_QTY} END AS emergency_qty",
+        f"CASE WHEN action_tier = 'REORDER' THEN {REORDER_QTY} END AS reorder_qty",
+        f"CASE WHEN action_tier = 'MONITOR' THEN {ORDER_BY_WEEK} END AS order_by_week",
+    )
 
 
-def reorder_qty(reorder_point: Column, position: Column, lead_demand: Column, weekly: Column) -> Column:
-    return _at_least_one(F.greatest(reorder_point - position + lead_demand, 4.0 * weekly))
+TEXT_VALUES = {
+    "origin": "origin_date", "on_order": whole("On_Order"), "stock": whole("Current_Stock"), "lead": whole("Lead_Time_Days"),
+    "rp": whole("Reorder_Point"), "stockout_week": "earliest_stockout_week", "rp_week": "earliest_rp_breach_week",
+    "before_rp": "(earliest_rp_breach_week - 1)", "order_by": "order_by_week", "ip_stockout": whole("ip_at_stockout"),
+    "ip_rp": whole("ip_at_rp_breach"), "emergency": "emergency_qty", "order": "reorder_qty",
+    "excess": whole("excess_inventory_units"), "excess_weeks": one_decimal("excess_weeks_of_cover"),
+    "pause": "greatest(1L, ceil(excess_weeks_of_cover))", "cover": one_decimal("weeks_of_cover"),
+}
 
 
-def order_by_week(breach_week: Column, lead: Column) -> Column:
-    return F.greatest(F.lit(1), breach_week - lead)
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The decision cases as a ten-row table (Spark knows its size and broadcasts it)."""
+    fixed = [i for i, f in enumerate(CASE_FIELDS) if f not in ("recommended_action", "rationale")]
+    rows = []
+    for case, row in CASES.items():
+        cells = [quoted(row[i]) if isinstance(row[i], str) else str(row[i]) for i in fixed]
+        rows.append(f"({quoted(case)}, {', '.join(cells)}, {quoted(PRIORITIES[row[2]])})")
+    names = ", ".join(["_case", *[CASE_FIELDS[i] for i in fixed], "priority"])
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS r({names})")
 
 
-def decision_quantities(risk: DataFrame) -> DataFrame:
-    """Decision case, order quantities and order-by week for every risk row."""
-    c = F.col
-    ip = F.array(*[c(f"ip_h{h}") for h in range(1, HORIZON + 1)])
-    lead = lead_weeks(c("Lead_Time_Days"))
-    return (
-        risk.withColumn("_case", decision_case(c("action_tier"), c("On_Order"), c("excess_inventory_units"), c("excess_weeks_of_cover"), c("overstock_tier")))
-        .withColumn("ip_at_stockout", F.try_element_at(ip, c("earliest_stockout_week")))
-        .withColumn("ip_at_rp_breach", F.try_element_at(ip, c("earliest_rp_breach_week")))
-        .withColumn("emergency_qty", F.when(c("_case") == "expedite_new", emergency_qty(c("Reorder_Point"), c("Current_Stock"), c("avg_weekly_demand"))))
-        .withColumn("reorder_qty", F.when(c("action_tier") == "REORDER", reorder_qty(c("Reorder_Point"), c("ip_at_rp_breach"), c("lead_time_demand"), c("avg_weekly_demand"))))
-        .withColumn("order_by_week", F.when(c("action_tier") == "MONITOR", order_by_week(c("earliest_rp_breach_week"), lead)))
-    )
+def _text(position: int) -> str:
+    cases = " ".join(f"WHEN {quoted(case)} THEN {fill_template(row[position], TEXT_VALUES)}" for case, row in CASES.items())
+    return f"CASE _case {cases} END"
 
 
 def recommendations(risk: DataFrame, master: DataFrame, status: str = THRESHOLD_STATUS) -> DataFrame:
     """One recommendation per risk row of a master item (31 columns; sort at the sink)."""
-    c = F.col
-    df = decision_quantities(risk)
-    finite = F.when(c("weeks_of_cover") < float("inf"), c("weeks_of_cover"))
-    values = {
-        "origin": c("origin_date"), "on_order": text0(c("On_Order")), "stock": text0(c("Current_Stock")),
-        "lead": text0(c("Lead_Time_Days")), "rp": text0(c("Reorder_Point")),
-        "stockout_week": c("earliest_stockout_week"), "rp_week": c("earliest_rp_breach_week"),
-        "before_rp": c("earliest_rp_breach_week") - 1, "order_by": c("order_by_week"),
-        "ip_stockout": text0(c("ip_at_stockout")), "ip_rp": text0(c("ip_at_rp_breach")),
-        "emergency": c("emergency_qty"), "order": c("reorder_qty"),
-        "excess": text0(c("excess_inventory_units")), "excess_weeks": text1(c("excess_weeks_of_cover")),
-        "pause": F.greatest(F.lit(1), F.ceil(c("excess_weeks_of_cover"))),
-        "cover": F.coalesce(text1(finite), F.lit("inf")),
-    }
-    columns: dict[str, Column] = {}
-    for i, field in enumerate(CASE_FIELDS):
-        out = F.lit(None)
-        for case, row in CASES.items():
-            cell = fill_template(row[i], values) if isinstance(row[i], str) and "{" in row[i] else F.lit(row[i])
-            out = F.when(c("_case") == case, cell).otherwise(out)
-        columns[field] = out
-    df = df.withColumns(columns)
-    priority = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITIES.items() for x in kv]), c("priority_rank"))
-    names = master.select(
-        c("SKU"), c("Product_Name").alias("product_name"), c("Category").alias("category"), c("Subcategory").alias("subcategory")
-    )
-    return df.join(names, "SKU").select(
-        c("origin_date").cast("string").alias("origin_date"), c("SKU").alias("sku"), "product_name", "category", "subcategory",
-        "recommendation_code", "recommendation_title", "recommended_action", priority.alias("priority"), "priority_rank",
-        "rationale", "triggering_risk",
-        confidence_status(c("inventory_data_available"), c("days_since_snapshot")).alias("confidence_status"),
-        "required_follow_up",
-        c("Current_Stock").alias("current_stock"), c("On_Order").alias("on_order"), c("Lead_Time_Days").alias("lead_time_days"),
-        c("Safety_Stock").alias("safety_stock"), c("Reorder_Point").alias("reorder_point"), "avg_weekly_demand",
-        F.when(c("weeks_of_cover") == float("inf"), CAPPED_COVER).otherwise(c("weeks_of_cover")).alias("weeks_of_cover"),
-        "excess_weeks_of_cover",
-        c("earliest_rp_breach_week").alias("earliest_breach_week"), "earliest_stockout_week",
-        c("estimated_stockout_date").cast("string").alias("projected_stockout_date"),
-        "valuation_basis_confirmed", "arrival_timing_confirmed", "on_order_policy", "overstock_threshold_weeks",
-        F.lit(status).alias("overstock_threshold_status"), F.lit(True).alias("monetary_valuation_blocked"),
+    names = master.selectExpr("SKU", "Product_Name AS product_name", "Category AS category", "Subcategory AS subcategory")
+    df = decision_quantities(risk).join(rule_table(risk.sparkSession), "_case").join(names, "SKU")
+    return df.selectExpr(
+        "CAST(origin_date AS STRING) AS origin_date", "SKU AS sku", "product_name", "category", "subcategory", "recommendation_code",
+        "recommendation_title", f"{_text(5)} AS recommended_action", "priority", "priority_rank", f"{_text(6)} AS rationale", "triggering_risk",
+        f"{CONFIDENCE} AS confidence_status", "required_follow_up", "Current_Stock AS current_stock", "On_Order AS on_order",
+        "Lead_Time_Days AS lead_time_days", "Safety_Stock AS safety_stock", "Reorder_Point AS reorder_point", "avg_weekly_demand",
+        f"CASE WHEN weeks_of_cover = double('Infinity') THEN {CAPPED_COVER}D ELSE weeks_of_cover END AS weeks_of_cover",
+        "excess_weeks_of_cover", "earliest_rp_breach_week AS earliest_breach_week", "earliest_stockout_week",
+        "CAST(estimated_stockout_date AS STRING) AS projected_stockout_date", "valuation_basis_confirmed", "arrival_timing_confirmed",
+        "on_order_policy", "overstock_threshold_weeks", f"{quoted(status)} AS overstock_threshold_status", "true AS monetary_valuation_blocked",
     )
 
 

@@ -175,10 +175,10 @@ KEYS = ["SKU", "forecast_origin_date"]
 
 
 def feature_table(
-    daily: DataFrame, master: DataFrame, snapshots: DataFrame, static_params: str = "first"
+    daily: DataFrame, master: DataFrame, snapshots: DataFrame, static_params: str = "first", days: DataFrame | None = None
 ) -> DataFrame:
     """Keys, eight targets, and the feature columns in name order, for every (item, week)."""
-    df = weekly_filled(daily)
+    df = weekly_filled(daily, days=days)
     df = demand_lags(targets_multi_horizon(df))
     df = trend_ratios(ewma(rolling_stats(df)))
     df = promo_features(calendar_features(df))

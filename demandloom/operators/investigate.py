@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ratio
 from .ordered import prefix_scan, quantiles, row_numbers
-from .risk import arrivals
+from .risk import ARRIVALS
 
 # Weeks tested and tolerance bands of the published analyses.
 SWEEP_WEEKS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12)
@@ -196,16 +197,14 @@ def onhand_policy_variants(positions: DataFrame, policies: Sequence[str] = ("Pol
     ``positions`` carries stock, on-order, lead time, safety stock, reorder point and the vector ``_cum``.
     """
     known = positions.filter(F.col("snapshot_date").isNotNull())
-    stock, on_order, lead = F.col("Current_Stock"), F.col("On_Order"), F.col("Lead_Time_Days")
 
-    def position(policy: str, h: int):
-        return stock + arrivals(on_order, lead, policy)(F.lit(h)) - F.element_at("_cum", h)
+    def position(policy: str, h: int) -> str:
+        inbound = re.sub(r"\bh\b", str(h), ARRIVALS[policy])
+        return f"Current_Stock + {inbound} - _cum[{h - 1}]"
 
-    variants = F.array(
-        *[F.struct(F.lit(p).alias("policy"), position(p, 1).alias("ip1"), position(p, 8).alias("ip8")) for p in policies]
-    )
-    rows = known.select(
-        "Safety_Stock", "Reorder_Point", position("Policy_D", 1).alias("d1"), position("Policy_D", 8).alias("d8"), F.inline(variants)
+    variants = ", ".join(f"struct('{p}' AS policy, {position(p, 1)} AS ip1, {position(p, 8)} AS ip8)" for p in policies)
+    rows = known.selectExpr(
+        "Safety_Stock", "Reorder_Point", f"{position('Policy_D', 1)} AS d1", f"{position('Policy_D', 8)} AS d8", f"inline(array({variants}))"
     )
     ss, rp = F.col("Safety_Stock"), F.col("Reorder_Point")
     return rows.groupBy("policy").agg(

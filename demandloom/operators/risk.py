@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import first_index, horizon_vector, ratio, running_sums, text0, text1
 from .timegrid import asof_join
 
 # Taxonomy, thresholds and policy names of the published risk outputs.
@@ -35,15 +34,29 @@ VALUE_ALIASES = ("prediction", "units_forecast", "forecast", "pred", "Units_Sold
 WIDE_ALIASES = ("h{}", "target_h{}", "pred_h{}", "forecast_h{}")
 
 
-def fill_template(template: str, values: dict[str, Column]) -> Column:
-    """``concat`` of the literal pieces and the named columns of a ``{name}`` template."""
-    parts: list[Column] = []
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fill_template(template: str, values: dict[str, str]) -> str:
+    """SQL ``concat`` of the literal pieces and the named expressions of a ``{name}`` template."""
+    parts = []
     for piece in template.replace("{", "\0{").replace("}", "}\0").split("\0"):
         if piece.startswith("{"):
-            parts.append(values[piece[1:-1]].cast("string"))
+            parts.append(f"CAST({values[piece[1:-1]]} AS STRING)")
         elif piece:
-            parts.append(F.lit(piece))
-    return F.concat(*parts)
+            parts.append(quoted(piece))
+    return f"concat({', '.join(parts)})"
+
+
+def whole(x: str) -> str:
+    """Whole-number text of an SQL expression, ties to even."""
+    return f"CAST(bround({x}, 0) AS BIGINT)"
+
+
+def one_decimal(x: str) -> str:
+    """One-decimal text of an SQL expression, ties to even; an infinite value reads ``inf``."""
+    return f"CASE WHEN {x} = double('Infinity') THEN 'inf' ELSE CAST(CAST(bround(nullif({x}, double('Infinity')), 1) AS DECIMAL(28, 1)) AS STRING) END"
 
 
 def _pick(columns: Sequence[str], aliases: Sequence[str]) -> str | None:
@@ -94,78 +107,67 @@ def latest_snapshot_at_origin(keys: DataFrame, snapshots: DataFrame) -> DataFram
     )
 
 
-# --- vector formulas: every argument is a column -----------------------------------------------------
-
+# --- vector formulas: SQL over the snapshot columns, the forecast vector ``_y`` and its prefix sums ``_cum`` ---
 
-def arrivals(on_order: Column, lead_days: Column, policy: str = ON_ORDER_POLICY):
-    """Inbound units counted at horizon ``h``.
-
-    ``Policy_A`` counts them always, ``Policy_B1`` from week 1 when due within 7 days and else from week 2,
-    ``Policy_B_LT`` once the lead time has passed, ``Policy_D`` never.
-    """
-    rules = {
-        "Policy_A": lambda h: on_order,
-        "Policy_B1": lambda h: F.when((lead_days <= 7) | (h >= 2), on_order).otherwise(0.0),
-        "Policy_B_LT": lambda h: F.when(lead_days <= h * 7, on_order).otherwise(0.0),
-        "Policy_D": lambda h: F.lit(0.0),
-    }
-    return rules[policy]
-
-
-def inventory_position(stock: Column, on_order: Column, lead_days: Column, cumulative: Column, policy: str = ON_ORDER_POLICY) -> Column:
-    inbound = arrivals(on_order, lead_days, policy)
-    return horizon_vector(lambda h: stock + inbound(h) - F.element_at(cumulative, h))
+WEEKS = f"sequence(1, {HORIZON})"
+# Inbound units counted at horizon ``h``: always; from week 1 when due within 7 days and else from week 2; once
+# the lead time has passed; never.
+ARRIVALS = {
+    "Policy_A": "On_Order",
+    "Policy_B1": "CASE WHEN Lead_Time_Days <= 7 OR h >= 2 THEN On_Order ELSE 0D END",
+    "Policy_B_LT": "CASE WHEN Lead_Time_Days <= h * 7 THEN On_Order ELSE 0D END",
+    "Policy_D": "0D",
+}
+RUNNING = f"transform({WEEKS}, h -> aggregate(slice(_y, 1, h), 0D, (a, x) -> a + x))"
+STOCK_BALANCE = f"transform({WEEKS}, h -> Current_Stock - _cum[h - 1])"
+PIPELINE = "(Current_Stock + On_Order)"
+LEAD_WEEKS = f"least({HORIZON}, greatest(1, CAST(ceil(Lead_Time_Days / 7) AS INT)))"
+LEAD_TIME_DEMAND = (
+    f"aggregate(slice(_y, 1, least({HORIZON}, CAST(floor(Lead_Time_Days / 7) AS INT))), 0D, (a, x) -> a + x)"
+    f" + CASE WHEN floor(Lead_Time_Days / 7) < {HORIZON} AND Lead_Time_Days / 7 > floor(Lead_Time_Days / 7)"
+    " THEN get(_y, CAST(floor(Lead_Time_Days / 7) AS INT)) * (Lead_Time_Days / 7 - floor(Lead_Time_Days / 7)) ELSE 0D END"
+)
+LATE_SUPPLY = f"(Current_Stock + CASE WHEN Lead_Time_Days <= {LONG_HORIZON_DAYS}D THEN On_Order ELSE 0D END)"
+EXCESS_UNITS = f"greatest(0D, {LATE_SUPPLY} - forecast_cum_8w - Safety_Stock)"
+STOCKOUT_SCORE = (
+    f"CASE WHEN avg_weekly_demand <= 0 THEN 0D WHEN {PIPELINE} <= 0 THEN 1D"
+    " WHEN Lead_Time_Days / 7 + Safety_Stock / avg_weekly_demand > 0"
+    " THEN greatest(0D, 1D - least(1D, weeks_of_cover / (Lead_Time_Days / 7 + Safety_Stock / avg_weekly_demand))) ELSE 0D END"
+)
 
 
-def stock_balance(stock: Column, cumulative: Column) -> Column:
-    return horizon_vector(lambda h: stock - F.element_at(cumulative, h))
+def inventory_position(policy: str = ON_ORDER_POLICY) -> str:
+    return f"transform({WEEKS}, h -> Current_Stock + {ARRIVALS[policy]} - _cum[h - 1])"
 
 
-def cover(units: Column, weekly: Column) -> Column:
+def cover(units: str) -> str:
     """Weeks of cover; infinite when stock meets no demand."""
-    return F.when(weekly > 0, units / weekly).when(units > 0, F.lit(float("inf"))).otherwise(0.0)
-
-
-def lead_time_demand(forecast: Column, lead_days: Column) -> Column:
-    full = F.floor(lead_days / 7.0).cast("int")
-    part = lead_days / 7.0 - full
-    whole = F.aggregate(F.slice(forecast, 1, F.least(full, F.lit(HORIZON))), F.lit(0.0), lambda a, x: a + x)
-    tail = F.when((full < HORIZON) & (part > 0), F.try_element_at(forecast, full + 1) * part).otherwise(0.0)
-    return whole + tail
-
-
-def stockout_score(weekly: Column, pipeline: Column, weeks_cover: Column, lead_days: Column, safety: Column) -> Column:
-    need = lead_days / 7.0 + safety / weekly
-    share = F.when(need > 0, weeks_cover / need).otherwise(1.0)
     return (
-        F.when(weekly <= 0, 0.0)
-        .when(pipeline <= 0, 1.0)
-        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.least(F.lit(1.0), share))))
+        f"CASE WHEN avg_weekly_demand > 0 THEN {units} / avg_weekly_demand"
+        f" WHEN {units} > 0 THEN double('Infinity') WHEN snapshot_date IS NOT NULL THEN 0D END"
     )
 
 
-def overstock_tier(excess_weeks: Column) -> Column:
+def first_week(predicate: str) -> str:
+    """First horizon whose position ``x`` satisfies the predicate, else NULL."""
+    return f"CAST(nullif(array_position(transform(ip, x -> {predicate}), true), 0) AS INT)"
+
+
+def overstock_tier(weeks: str) -> str:
     none, mild, high = OVERSTOCK_LIMITS
     return (
-        F.when(excess_weeks <= none, "HEALTHY").when(excess_weeks <= mild, "MONITOR")
-        .when(excess_weeks <= high, "HIGH").otherwise("CRITICAL")
+        f"CASE WHEN {weeks} IS NULL THEN 'UNKNOWN' WHEN {weeks} <= {none} THEN 'HEALTHY' WHEN {weeks} <= {mild} THEN 'MONITOR'"
+        f" WHEN {weeks} <= {high} THEN 'HIGH' ELSE 'CRITICAL' END"
     )
 
 
-def lead_weeks(lead_days: Column) -> Column:
-    """Lead time in started weeks, between 1 and the horizon."""
-    return F.least(F.lit(HORIZON), F.greatest(F.lit(1), F.ceil(lead_days / 7.0).cast("int")))
-
-
-def action_tier(position: Column, lead_days: Column, reorder_point: Column, excess_weeks: Column) -> Column:
-    near = F.slice(position, 1, lead_weeks(lead_days))
-    return (
-        F.when(F.exists(near, lambda x: x <= 0), "CRITICAL REORDER")
-        .when(F.exists(near, lambda x: x < reorder_point), "REORDER")
-        .when(F.exists(position, lambda x: x < reorder_point), "MONITOR")
-        .when(excess_weeks > 0, "OVERSTOCK")
-        .otherwise("HEALTHY")
-    )
+ACTION_TIER = (
+    "CASE WHEN snapshot_date IS NULL THEN 'UNKNOWN'"
+    f" WHEN earliest_stockout_week <= {LEAD_WEEKS} THEN 'CRITICAL REORDER'"
+    f" WHEN earliest_rp_breach_week <= {LEAD_WEEKS} THEN 'REORDER'"
+    " WHEN earliest_rp_breach_week IS NOT NULL THEN 'MONITOR'"
+    " WHEN excess_weeks_of_cover > 0 THEN 'OVERSTOCK' ELSE 'HEALTHY' END"
+)
 
 
 def project_positions(df: DataFrame, policy: str = ON_ORDER_POLICY) -> DataFrame:
@@ -173,83 +175,55 @@ def project_positions(df: DataFrame, policy: str = ON_ORDER_POLICY) -> DataFrame
 
     A missing forecast counts as zero demand only where a snapshot exists.
     """
-    zero = F.array_repeat(F.lit(0.0), HORIZON)
-    known = F.col("snapshot_date").isNotNull()
     return (
-        df.withColumn("_y", F.when(known, F.coalesce("forecast", zero)).otherwise(F.col("forecast")))
-        .withColumn("_cum", running_sums(F.col("_y")))
-        .withColumn("forecast_cum_8w", F.element_at("_cum", HORIZON))
-        .withColumn("avg_weekly_demand", F.col("forecast_cum_8w") / float(HORIZON))
-        .withColumn("ip", inventory_position(F.col("Current_Stock"), F.col("On_Order"), F.col("Lead_Time_Days"), F.col("_cum"), policy))
-        .withColumn("sb", stock_balance(F.col("Current_Stock"), F.col("_cum")))
+        df.selectExpr(
+            "*", f"CASE WHEN snapshot_date IS NOT NULL THEN coalesce(forecast, array_repeat(0D, {HORIZON})) ELSE forecast END AS _y"
+        )
+        .selectExpr("*", f"{RUNNING} AS _cum")
+        .selectExpr(
+            "*", f"_cum[{HORIZON - 1}] AS forecast_cum_8w", f"_cum[{HORIZON - 1}] / {HORIZON} AS avg_weekly_demand",
+            f"{inventory_position(policy)} AS ip", f"{STOCK_BALANCE} AS sb",
+        )
     )
 
 
 def risk_metrics(df: DataFrame) -> DataFrame:
     """Cover, breaches, scores and tiers from the projected vectors; rows without a snapshot stay NULL."""
-    c = F.col
-    pipeline = c("Current_Stock") + c("On_Order")
-    supply_late = c("Current_Stock") + F.when(c("Lead_Time_Days") <= LONG_HORIZON_DAYS, c("On_Order")).otherwise(0.0)
-    known = c("snapshot_date").isNotNull()
+    return (
+        df.selectExpr(
+            "*", "snapshot_date IS NOT NULL AS inventory_data_available", "datediff(origin_date, snapshot_date) AS days_since_snapshot",
+            f"{cover(PIPELINE)} AS weeks_of_cover", f"{cover('Current_Stock')} AS stock_weeks_of_cover",
+            f"CASE WHEN snapshot_date IS NOT NULL THEN {LEAD_TIME_DEMAND} END AS lead_time_demand",
+            f"{first_week('x <= 0')} AS earliest_stockout_week", f"{first_week('x < Safety_Stock')} AS earliest_ss_breach_week",
+            f"{first_week('x < Reorder_Point')} AS earliest_rp_breach_week",
+            f"CASE WHEN snapshot_date IS NOT NULL THEN {EXCESS_UNITS} END AS excess_inventory_units",
+        )
+        .selectExpr(
+            "*", "weeks_of_cover * 7 AS days_of_supply", "stock_weeks_of_cover * 7 AS stock_days_of_supply",
+            "CASE WHEN snapshot_date IS NOT NULL THEN earliest_stockout_week IS NOT NULL END AS is_stockout_risk",
+            "date_add(origin_date, earliest_stockout_week * 7) AS estimated_stockout_date",
+            "CASE WHEN snapshot_date IS NOT NULL THEN earliest_ss_breach_week IS NOT NULL END AS is_safety_stock_breach",
+            "CASE WHEN snapshot_date IS NOT NULL THEN earliest_rp_breach_week IS NOT NULL END AS is_reorder_point_breach",
+            f"CASE WHEN snapshot_date IS NOT NULL THEN {STOCKOUT_SCORE} END AS stockout_score",
+            "CASE WHEN avg_weekly_demand > 0 THEN excess_inventory_units / avg_weekly_demand"
+            " WHEN snapshot_date IS NOT NULL THEN 0D END AS excess_weeks_of_cover",
+            f"CASE WHEN {PIPELINE} > 0 THEN excess_inventory_units / {PIPELINE} WHEN snapshot_date IS NOT NULL THEN 0D END AS overstock_score",
+        )
+        .selectExpr("*", f"{overstock_tier('excess_weeks_of_cover')} AS overstock_tier", f"{ACTION_TIER} AS action_tier")
+    )
 
-    def when_known(x: Column) -> Column:
-        return F.when(known, x)
 
-    out = df.withColumns(
-        {
-            "inventory_data_available": known,
-            "days_since_snapshot": F.datediff("origin_date", "snapshot_date"),
-            "weeks_of_cover": when_known(cover(pipeline, c("avg_weekly_demand"))),
-            "stock_weeks_of_cover": when_known(cover(c("Current_Stock"), c("avg_weekly_demand"))),
-            "lead_time_demand": when_known(lead_time_demand(c("_y"), c("Lead_Time_Days"))),
-            "earliest_stockout_week": first_index(c("ip"), lambda x: x <= 0),
-            "earliest_ss_breach_week": first_index(c("ip"), lambda x: x < c("Safety_Stock")),
-            "earliest_rp_breach_week": first_index(c("ip"), lambda x: x < c("Reorder_Point")),
-            "excess_inventory_units": when_known(
-                F.greatest(F.lit(0.0), supply_late - c("forecast_cum_8w") - c("Safety_Stock"))
-            ),
-        }
-    )
-    return out.withColumns(
-        {
-            "days_of_supply": c("weeks_of_cover") * 7.0,
-            "stock_days_of_supply": c("stock_weeks_of_cover") * 7.0,
-            "is_stockout_risk": when_known(c("earliest_stockout_week").isNotNull()),
-            "estimated_stockout_date": F.date_add("origin_date", c("earliest_stockout_week") * 7),
-            "is_safety_stock_breach": when_known(c("earliest_ss_breach_week").isNotNull()),
-            "is_reorder_point_breach": when_known(c("earliest_rp_breach_week").isNotNull()),
-            "stockout_score": when_known(
-                stockout_score(c("avg_weekly_demand"), pipeline, c("weeks_of_cover"), c("Lead_Time_Days"), c("Safety_Stock"))
-            ),
-            "excess_weeks_of_cover": when_known(
-                F.when(c("avg_weekly_demand") > 0, c("excess_inventory_units") / c("avg_weekly_demand")).otherwise(0.0)
-            ),
-            "overstock_score": when_known(F.when(pipeline > 0, ratio(c("excess_inventory_units"), pipeline)).otherwise(0.0)),
-        }
-    ).withColumns(
-        {
-            "overstock_tier": F.when(known, overstock_tier(c("excess_weeks_of_cover"))).otherwise("UNKNOWN"),
-            "action_tier": F.when(
-                known, action_tier(c("ip"), c("Lead_Time_Days"), c("Reorder_Point"), c("excess_weeks_of_cover"))
-            ).otherwise("UNKNOWN"),
-        }
-    )
+TEXT_VALUES = {
+    "stockout_week": "earliest_stockout_week", "rp_week": "earliest_rp_breach_week", "lead": whole("Lead_Time_Days"),
+    "rp": whole("Reorder_Point"), "overstock": "overstock_tier", "excess": whole("excess_inventory_units"),
+    "excess_weeks": one_decimal("excess_weeks_of_cover"), "cover": one_decimal("weeks_of_cover"), "origin": "origin_date",
+}
 
 
 def risk_text(df: DataFrame) -> DataFrame:
-    c = F.col
-    values = {
-        "stockout_week": c("earliest_stockout_week"), "rp_week": c("earliest_rp_breach_week"),
-        "lead": text0(c("Lead_Time_Days")), "rp": text0(c("Reorder_Point")), "overstock": c("overstock_tier"),
-        "excess": text0(c("excess_inventory_units")), "excess_weeks": text1(c("excess_weeks_of_cover")),
-        "cover": F.when(c("weeks_of_cover") == float("inf"), "inf").otherwise(text1(
-            F.when(c("weeks_of_cover") < float("inf"), c("weeks_of_cover")))),
-        "origin": c("origin_date"),
-    }
-    text = F.lit(None).cast("string")
-    for tier, template in RISK_TEXT.items():
-        text = F.when(c("action_tier") == tier, fill_template(template, values)).otherwise(text)
-    return df.withColumn("recommendation", text)
+    """One sentence per row, chosen by the action tier."""
+    cases = " ".join(f"WHEN {quoted(t)} THEN {fill_template(text, TEXT_VALUES)}" for t, text in RISK_TEXT.items())
+    return df.selectExpr("*", f"CASE action_tier {cases} END AS recommendation")
 
 
 RISK_COLUMNS = (
@@ -267,17 +241,14 @@ RISK_COLUMNS = (
 )
 
 
-def governance_columns(df: DataFrame, policy: str, status: str = THRESHOLD_STATUS) -> DataFrame:
-    return df.withColumns(
-        {
-            **{c: F.lit(None).cast("double") for c in ("excess_inventory_value", "inventory_value_at_risk", "capital_at_risk")},
-            "valuation_basis_confirmed": F.lit(False),
-            "arrival_timing_confirmed": F.lit(False),
-            "on_order_policy": F.lit(policy),
-            "overstock_threshold_weeks": F.lit(THRESHOLD_WEEKS),
-            "overstock_threshold_status": F.lit(status),
-        }
-    )
+MONEY = ("excess_inventory_value", "inventory_value_at_risk", "capital_at_risk")
+
+
+def governance_values(policy: str, status: str = THRESHOLD_STATUS) -> dict[str, str]:
+    return {
+        **{c: "CAST(NULL AS DOUBLE)" for c in MONEY}, "valuation_basis_confirmed": "false", "arrival_timing_confirmed": "false",
+        "on_order_policy": quoted(policy), "overstock_threshold_weeks": str(THRESHOLD_WEEKS), "overstock_threshold_status": quoted(status),
+    }
 
 
 def positions(scaffold: DataFrame, vectors: DataFrame, snapshots: DataFrame, policy: str = ON_ORDER_POLICY) -> DataFrame:
@@ -292,9 +263,11 @@ def risk_scores(
     """One risk row per (origin_date, SKU) of ``scaffold``; items without a snapshot are UNKNOWN."""
     vectors = normalize_forecast_layout(forecasts)
     df = risk_text(risk_metrics(positions(scaffold, vectors, snapshots, policy)))
-    df = df.withColumns({f"ip_h{h}": F.get("ip", h - 1) for h in range(1, HORIZON + 1)})
-    df = df.withColumns({"sb_h1": F.get("sb", 0), "sb_h8": F.get("sb", HORIZON - 1)})
-    return governance_columns(df, policy).select(*RISK_COLUMNS)
+    vectors_out = {**{f"ip_h{h}": f"ip[{h - 1}]" for h in range(1, HORIZON + 1)}, "sb_h1": "sb[0]", "sb_h8": f"sb[{HORIZON - 1}]"}
+    flags = governance_values(policy)
+    return df.selectExpr(
+        *[f"{vectors_out.get(c) or flags.get(c) or c} AS {c}" if c in vectors_out or c in flags else c for c in RISK_COLUMNS]
+    )
 
 
 def ip_trajectory(risk: DataFrame, sku: str | None = None) -> DataFrame:
@@ -310,7 +283,7 @@ def enforce_monetary_null(df: DataFrame, status: str = "POLICY_RATIFIED") -> Dat
     """Force valuation columns to NULL and set the ratified governance flags."""
     return df.withColumns(
         {
-            **{c: F.lit(None).cast("double") for c in ("excess_inventory_value", "inventory_value_at_risk", "capital_at_risk")},
+            **{c: F.lit(None).cast("double") for c in MONEY},
             "valuation_basis_confirmed": F.lit(False),
             "overstock_threshold_status": F.lit(status),
         }

@@ -28,9 +28,12 @@ def panel_fill(
     step_days: int,
     key: str = "SKU",
     policy: str = "zero_fill",
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Give every item one row per period between the earliest and the latest period of the whole table.
 
+    ``bounds`` (one row: lo, hi) names that range when it is already known, which saves a pass over the input.
+
     Each row is stretched over the gap that follows it, which needs one window by item and no join with a
     scaffold; later windows by item reuse the same partitioning. Rows per item are bounded by the number
     of periods, whatever the number of source rows behind them.
@@ -40,15 +43,13 @@ def panel_fill(
     """
     if policy not in ("zero_fill", "interpolate"):
         raise ValueError(f"unknown gap policy {policy!r}")
-    bounds = df.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi")).alias("b")).scalar()
+    if bounds is None:
+        bounds = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
     w = W.partitionBy(key).orderBy(date)
-    framed = (
-        df.withColumn("_b", bounds)
-        .withColumn("_next", F.lead(date).over(w))
-        .withColumn("_first", F.lag(date).over(w).isNull())
+    ends = {f"_to_{c}": F.lead(c).over(w) for c in zero} if policy == "interpolate" else {}
+    framed = df.withColumns(
+        {"_b": bounds.select(F.struct("lo", "hi")).scalar(), "_next": F.lead(date).over(w), "_first": F.lag(date).over(w).isNull(), **ends}
     )
-    if policy == "interpolate":
-        framed = framed.withColumns({f"_to_{c}": F.lead(c).over(w) for c in zero})
     start = F.when(F.col("_first"), F.col("_b.lo")).otherwise(F.col(date))
     stop = F.coalesce(F.date_sub("_next", step_days), F.col("_b.hi"))
     periods = F.sequence(start, stop, F.make_interval(days=F.lit(step_days)))
@@ -84,10 +85,16 @@ def flag_gaps(df: DataFrame, date: str, key: str = "SKU", step_days: int = 1) ->
     ).withColumn("missing_periods", (total - F.col("periods")).cast("bigint"))
 
 
-def weekly_filled(daily: DataFrame, anchor: str = "TUE") -> DataFrame:
-    """Gap-free weekly panel: the input of every positional window."""
+def week_span(days: DataFrame, anchor: str = "TUE") -> DataFrame:
+    """First and last week of a one-row (lo, hi) date range."""
+    return days.select(week_start(F.col("lo"), anchor).alias("lo"), week_start(F.col("hi"), anchor).alias("hi"))
+
+
+def weekly_filled(daily: DataFrame, anchor: str = "TUE", days: DataFrame | None = None) -> DataFrame:
+    """Gap-free weekly panel: the input of every positional window. ``days`` is the known (lo, hi) date range."""
     return panel_fill(
-        weekly_panel(daily, anchor), "week_start", ["Units_Sold", "promo_days", "promo_active"], 7
+        weekly_panel(daily, anchor), "week_start", ["Units_Sold", "promo_days", "promo_active"], 7,
+        bounds=None if days is None else week_span(days, anchor),
     ).drop("is_filled")
 
 

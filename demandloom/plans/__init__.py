@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-CATALOGS = ("catalog_inputs", "catalog_quality")
+CATALOGS = (
+    "catalog_inputs", "catalog_quality", "catalog_panel", "catalog_forecast", "catalog_risk", "catalog_investigations",
+)
 
 
 def load_catalog() -> dict:

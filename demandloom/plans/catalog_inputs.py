@@ -201,7 +201,7 @@ def _(c):
     return reports.filter_worklist(c.latest_recs, rank=2).orderBy("priority_rank", "sku")
 
 
-_ROSTER = """SELECT l.sku, product_name, category, current_stock, on_order, lead_time_days, safety_stock, reorder_point, l.weeks_of_cover,
+_ROSTER = """SELECT l.sku, product_name, category, l.current_stock, l.on_order, l.lead_time_days, l.safety_stock, l.reorder_point, l.weeks_of_cover,
     stockout_score, l.earliest_stockout_week, priority_rank FROM t_last l LEFT JOIN t_risk r ON l.sku = r.SKU AND l.origin_date = CAST(r.origin_date AS VARCHAR)"""
 
 

@@ -375,8 +375,8 @@ def _(c):
 @query(
     "data_dictionary_counts",
     """SELECT 'Current_Stock' AS column_name, 'double' AS data_type, count(*) FILTER (Current_Stock IS NULL) AS missing FROM t_panel
-    UNION ALL SELECT 'holiday', 'string', count(*) FILTER (holiday IS NULL) FROM t_panel UNION ALL SELECT 'SKU', 'string', 0 FROM t_panel
-    UNION ALL SELECT 'Date', 'date', 0 FROM t_panel UNION ALL SELECT 'Units_Sold', 'bigint', count(*) FILTER (Units_Sold IS NULL) FROM t_panel""",
+    UNION ALL SELECT 'holiday', 'string', count(*) FILTER (holiday IS NULL) FROM t_panel UNION ALL SELECT 'SKU', 'string', 0
+    UNION ALL SELECT 'Date', 'date', 0 UNION ALL SELECT 'Units_Sold', 'bigint', count(*) FILTER (Units_Sold IS NULL) FROM t_panel""",
 )
 def _(c):
     return profile.data_dictionary_counts(c.panel.select("Current_Stock", "holiday", "SKU", "Date", "Units_Sold"))

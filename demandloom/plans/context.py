@@ -43,6 +43,11 @@ class Context:
     def supplier(self) -> DataFrame:
         return self.table("supplier")
 
+    @cached_property
+    def days(self) -> DataFrame:
+        """First and last day of the data, read from column statistics where the format keeps them."""
+        return star.ship_span(self.lineitem)
+
     @cached_property
     def sales(self) -> DataFrame:
         return star.sales_daily(self.lineitem)
@@ -90,11 +95,11 @@ class Context:
     @cached_property
     def daily_filled(self) -> DataFrame:
         day = self.sales.select("SKU", "Date", "Units_Sold", "Revenue", "Promotion")
-        return timegrid.panel_fill(day, "Date", ["Units_Sold", "Revenue", "Promotion"], 1)
+        return timegrid.panel_fill(day, "Date", ["Units_Sold", "Revenue", "Promotion"], 1, bounds=self.days)
 
     @cached_property
     def weekly(self) -> DataFrame:
-        return timegrid.weekly_filled(self.sales)
+        return timegrid.weekly_filled(self.sales, days=self.days)
 
     @cached_property
     def item_class(self) -> DataFrame:
@@ -107,12 +112,8 @@ class Context:
 
     @cached_property
     def origins(self) -> DataFrame:
-        # First and last week of the unfilled panel are those of the grid, so no gap is filled to find them.
-        return forecast.rolling_origins(
-            self.sales.agg(F.min("Date").alias("a"), F.max("Date").alias("b")).select(
-                F.explode(F.array("a", "b")).alias("d")
-            ).select(timegrid.week_start(F.col("d")).alias("week_start"))
-        )
+        # The calendar's first and last week are those of the grid, so no panel is built to find them.
+        return forecast.rolling_origins(timegrid.week_span(self.days).select(F.explode(F.array("lo", "hi")).alias("week_start")))
 
     @cached_property
     def forecasts(self) -> DataFrame:
@@ -135,7 +136,7 @@ class Context:
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.feature_table(self.sales, self.norm_master, self.snapshots)
+        return features.feature_table(self.sales, self.norm_master, self.snapshots, days=self.days)
 
     @cached_property
     def scaffold(self) -> DataFrame:

@@ -89,7 +89,7 @@ def sku_master(lineitem: DataFrame, supplier: DataFrame, nation: DataFrame, regi
     )
 
 
-def _span(lineitem: DataFrame) -> DataFrame:
+def ship_span(lineitem: DataFrame) -> DataFrame:
     return lineitem.agg(
         F.min("l_shipdate").cast("date").alias("lo"), F.max("l_shipdate").cast("date").alias("hi")
     )
@@ -107,7 +107,7 @@ def calendar(lineitem: DataFrame) -> DataFrame:
         event = F.when((month == m) & dom.between(first, last), name).otherwise(event)
     weekday = F.weekday(day)
     return (
-        _span(lineitem)
+        ship_span(lineitem)
         .select(F.explode(F.sequence("lo", "hi")).alias("date"))
         .select(
             "date",
@@ -132,7 +132,7 @@ def calendar(lineitem: DataFrame) -> DataFrame:
 def inventory_snapshots(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
     """Month-start stock positions for twice as many items as the master holds; about 1 in 13 is missing."""
     months = (
-        _span(lineitem)
+        ship_span(lineitem)
         .select(F.sequence(F.date_trunc("month", "lo").cast("date"), F.col("hi"), F.expr("INTERVAL 1 MONTH")).alias("m"))
         .scalar()
     )
