@@ -4,7 +4,8 @@
 order into ranges first: a uniform sample (smallest hashes, so it is deterministic) gives the range
 borders, each range is scanned by its own task, and one small row per range carries the totals forward.
 Rows must be unique on the ordering columns, so a value shared by very many rows is counted first and
-never fills a range on its own.
+never fills a range on its own. The counted input is checkpointed, because it is read several times; when it
+turns out to have few rows, one range is enough.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.checkpoints import cut_lineage
+
 RANGES = 64
 SAMPLE_ROWS = 2048
+ONE_RANGE_ROWS = 100_000
 
 _SCANS = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -45,11 +49,18 @@ def prefix_scan(
     order: Sequence[str],
     measures: Mapping[str, tuple[str, str]],
     ranges: int = RANGES,
+    one_range_rows: int = ONE_RANGE_ROWS,
+    materialised: bool = False,
 ) -> DataFrame:
     """Inclusive running aggregates along a global ascending order.
 
     ``measures`` maps an output name to ``(function, column)`` with function ``sum``, ``max`` or ``min``.
     """
+    if not materialised:
+        df = cut_lineage(df)
+    if df.count() <= one_range_rows:
+        whole = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({out: _SCANS[fn](col).over(whole) for out, (fn, col) in measures.items()})
     ranged = assign_ranges(df, order, ranges)
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -77,18 +88,25 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -
     return prefix_scan(df.withColumn("_one", F.lit(1).cast("bigint")), order, {name: ("sum", "_one")}).drop("_one")
 
 
-def rank_min(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Descending rank where ties share the smallest rank; NULL values get no rank."""
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_neg", -F.col(column))
+def rank_min(df: DataFrame, columns: Mapping[str, str], key: str = "SKU") -> DataFrame:
+    """Descending ranks where ties share the smallest rank, one per ``columns`` entry (source to rank name).
+
+    All columns are ranked in one scan over their distinct values; NULL values get no rank.
+    """
+    long = df.select(
+        key, F.inline(F.array(*[F.struct(F.lit(c).alias("_m"), (-F.col(c).cast("double")).alias("_v")) for c in columns]))
+    ).filter(F.col("_v").isNotNull())
+    counts = cut_lineage(long.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    scanned = prefix_scan(counts, ["_m", "_v"], {"_upto": ("sum", "_n")}, materialised=True)
+    # One row per ranked column.
+    base = counts.groupBy("_m").agg(F.sum("_n").alias("_n")).select(
+        "_m", F.coalesce(F.sum("_n").over(W.orderBy("_m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base")
     )
-    ranks = prefix_scan(counts, ["_neg"], {"_upto": ("sum", "_n")}).select(
-        F.col(column), (F.col("_upto") - F.col("_n") + 1).alias(name)
+    ranks = scanned.join(F.broadcast(base), "_m").select("_m", "_v", (F.col("_upto") - F.col("_n") + 1 - F.col("_base")).alias("_r"))
+    per_key = long.join(ranks, ["_m", "_v"]).groupBy(key).agg(
+        *[F.max(F.when(F.col("_m") == c, F.col("_r"))).alias(name) for c, name in columns.items()]
     )
-    return df.join(ranks, column, "left")
+    return df.join(per_key, key, "left")
 
 
 def quantiles(
@@ -111,7 +129,8 @@ def quantiles(
         .groupBy(*by, "_v")
         .agg(F.sum("_w").alias("_n"))
     )
-    scanned = prefix_scan(counts, [*by, "_v"], {"_upto": ("sum", "_n")})
+    counts = cut_lineage(counts)
+    scanned = prefix_scan(counts, [*by, "_v"], {"_upto": ("sum", "_n")}, materialised=True)
     if by:
         bounds = scanned.groupBy(*by).agg(
             F.sum("_n").alias("_size"), F.min(F.col("_upto") - F.col("_n")).alias("_base")

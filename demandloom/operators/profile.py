@@ -90,10 +90,10 @@ def sku_demand_profile(df: DataFrame, master: DataFrame) -> DataFrame:
     )
     medians = df.groupBy("SKU").agg(F.percentile(F.col("Units_Sold"), 0.5).alias("Median_Daily_Demand"))
     names = master.select("SKU", "Product_Name", "Category", "Subcategory", "Selling_Price", "Cost_Price", "negative_margin_flag")
-    out = stats.join(medians, "SKU").join(names, "SKU", "left")
-    for source, rank in (("Total_Units_Sold", "Volume_Rank"), ("Total_Revenue", "Revenue_Rank"), ("CV", "Variability_Rank")):
-        out = rank_min(out, source, rank)
-    return out
+    ranked = rank_min(
+        stats, {"Total_Units_Sold": "Volume_Rank", "Total_Revenue": "Revenue_Rank", "CV": "Variability_Rank"}
+    )
+    return ranked.join(medians, "SKU").join(names, "SKU", "left")
 
 
 def temporal_patterns(panel: DataFrame) -> DataFrame:
@@ -315,11 +315,13 @@ def null_percentage(df: DataFrame) -> DataFrame:
 
 def lag_correlation(features: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair of lag columns, long form, one aggregate."""
-    pairs = [(a, b) for a in columns for b in columns]
-    one = features.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs]
-    )
-    rows = [F.struct(F.lit(a).alias("lag_a"), F.lit(b).alias("lag_b"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs]
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    one = features.agg(*[F.expr(f"corr(double({a}), double({b}))").alias(f"{a}__{b}") for a, b in pairs])
+    both = [*pairs, *[(b, a) for a, b in pairs if a != b]]
+    rows = [
+        F.expr(f"struct('{a}' AS lag_a, '{b}' AS lag_b, {a}__{b} AS r)" if (a, b) in pairs else f"struct('{a}' AS lag_a, '{b}' AS lag_b, {b}__{a} AS r)")
+        for a, b in both
+    ]
     return one.select(F.inline(F.array(*rows)))
 
 

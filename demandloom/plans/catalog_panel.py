@@ -265,14 +265,15 @@ _NUM = ("lag_1", "rolling_mean_8", "rolling_std_4", "promo_days_last_8w", "log_p
     "feature_statistics",
     " UNION ALL ".join(
         f"SELECT '{x}' AS feature, count(*) FILTER ({x} IS NULL) / count(*) * 100 AS null_pct, CAST(min({x}) AS DOUBLE) AS \"min\", CAST(max({x}) AS DOUBLE) AS \"max\", "
-        f"avg({x}) AS mean, stddev_samp({x}) AS std, count(DISTINCT {x}) AS distinct_values FROM t_features"
+        f"avg({x}) AS mean, stddev_samp({x}) AS std, count(DISTINCT round({x}, 6)) AS distinct_values FROM t_features"
         for x in _NUM
     ),
     "null_pct min max mean std",
 )
 def _(c):
-    rows = c.features.select(*_NUM).withColumns({x: F.round(x, 9) for x in ("rolling_mean_8", "rolling_std_4", "log_price")})
-    return profile.feature_statistics(rows).join(profile.distinct_counts(rows), "feature")
+    rows = c.features.select(*_NUM)
+    rounded = rows.withColumns({x: F.round(x, 6) for x in ("rolling_mean_8", "rolling_std_4", "log_price")})
+    return profile.feature_statistics(rows).join(profile.distinct_counts(rounded), "feature")
 
 
 _HIST = """SELECT CAST(coalesce(least(floor((x - lo) * {b} / nullif(hi - lo, 0)) + 1, {b}), 1) AS INTEGER) AS bin, count(*) AS n, min(x) AS min_value, max(x) AS max_value
@@ -345,7 +346,7 @@ def _(c):
     return feat.rolling_stats(c.weekly)
 
 
-@query("ewma", f"SELECT {_BASE}, {o.EWMA} {_W}", "ewma_decay_03 ewma_decay_01")
+@query("ewma", f"SELECT {_BASE}, {o.EWMA} {_W}", "ewma_decay_03:6~ ewma_decay_01:6~")
 def _(c):
     return feat.ewma(c.weekly)
 
@@ -402,7 +403,7 @@ def _(c):
     )
 
 
-_FEATURE_FLOATS = f"{_ROLL_FLOATS} {_TREND_FLOATS} {_PRICE_FLOATS} ewma_decay_03 ewma_decay_01 sin_week_annual cos_week_annual promo_intensity_last_13w stock_to_trailing_demand_ratio"
+_FEATURE_FLOATS = f"{_ROLL_FLOATS} {_TREND_FLOATS} {_PRICE_FLOATS} ewma_decay_03:6~ ewma_decay_01:6~ sin_week_annual cos_week_annual promo_intensity_last_13w stock_to_trailing_demand_ratio"
 
 
 @query("feature_table", "SELECT * FROM t_features", _FEATURE_FLOATS)
@@ -418,7 +419,7 @@ def _(c):
 @query("rank_min", "SELECT SKU, u AS Total_Units, rank() OVER (ORDER BY u DESC) AS Volume_Rank FROM (SELECT SKU, CAST(sum(Units_Sold) AS BIGINT) AS u FROM t_sales GROUP BY SKU)")
 def _(c):
     totals = c.sales.groupBy("SKU").agg(F.sum("Units_Sold").cast("bigint").alias("Total_Units"))
-    return rank_min(totals, "Total_Units", "Volume_Rank")
+    return rank_min(totals, {"Total_Units": "Volume_Rank"})
 
 
 @query(

@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import decide, features, forecast, prepare, profile, risk, timegrid
 from ..sources import star
+from ..sources.checkpoints import work_dir
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder that every executor can reach.
-
-    On a cluster it lies under ``spark.checkpoint.dir``; only a local master may fall back to a temporary folder.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/demandloom-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="demandloom-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+__all__ = ["Context", "work_dir"]
 
 
 class Context:
-    """Every attribute is a lazy DataFrame; nothing runs until a sink or an action asks for rows."""
+    """Every attribute is a DataFrame, built when it is first asked for; tables with exact quantiles checkpoint value counts."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir

@@ -15,18 +15,18 @@ from .oracle_tables import with_tables
 class Entry:
     build: Callable[[Context], DataFrame]
     sql: str | None
-    floats: dict[str, int]
+    floats: dict[str, tuple[int, float]]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(Context(spark, sf_dir))
-        return df.withColumns({c: F.round(c, d) for c, d in self.floats.items()}) if self.floats else df
+        return df.withColumns({c: F.round(F.col(c) + s, d) for c, (d, s) in self.floats.items()}) if self.floats else df
 
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
         body = self.sql
         if self.floats:
-            rounded = ", ".join(f'round(CAST("{c}" AS DOUBLE), {d}) AS "{c}"' for c, d in self.floats.items())
+            rounded = ", ".join(f'round(CAST("{c}" AS DOUBLE) + {s!r}, {d}) AS "{c}"' for c, (d, s) in self.floats.items())
             body = f"SELECT * REPLACE ({rounded}) FROM ({self.sql}) AS q"
         return with_tables(body)
 
@@ -34,9 +34,18 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def _floats(spec: str) -> dict[str, int]:
-    """``"a b c:2"`` to digits per column; 6 digits unless given."""
-    return {name: int(digits or 6) for name, _, digits in (item.partition(":") for item in spec.split())}
+def _floats(spec: str) -> dict[str, tuple[int, float]]:
+    """``"a b:2 c:6~"`` to (digits, shift) per column; 6 digits unless given.
+
+    ``~`` marks recursive decimal weights: their values end exactly on a rounding border, so both sides are
+    shifted off it by a fraction of the last digit.
+    """
+    out = {}
+    for item in spec.split():
+        name, _, digits = item.partition(":")
+        places = int(digits.rstrip("~") or 6)
+        out[name] = (places, 0.037 * 10.0**-places if digits.endswith("~") else 0.0)
+    return out
 
 
 def query(name: str, sql: str | None = None, floats: str = ""):
