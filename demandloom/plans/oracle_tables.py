@@ -54,7 +54,7 @@ SELECT d AS "date", CAST(year(d) AS BIGINT) AS "year", CAST(month(d) AS BIGINT)
   CASE WHEN strftime(d, '%m-%d') BETWEEN '03-10' AND '03-20' THEN 'Spring Sale'
        WHEN strftime(d, '%m-%d') BETWEEN '07-01' AND '07-14' THEN 'Summer Sale'
        WHEN strftime(d, '%m-%d') BETWEEN '11-20' AND '11-30' THEN 'Black Week' END AS promotion_event
-FROM (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM ({SPAN})) c"""
+FROM (SELECT CAST(unnest(generate_series(date_trunc('month', CAST(lo AS TIMESTAMP)), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM ({SPAN})) c"""
 
 TABLES["t_inventory"] = f"""
 SELECT md AS Snapshot_Date, {sku('key')} AS SKU, CAST(stock AS BIGINT) AS Current_Stock,
@@ -92,7 +92,7 @@ LEFT JOIN t_aligned a ON s.SKU = a.SKU AND s."Date" = a."Date\""""
 TABLES["t_dfill"] = """
 SELECT k.SKU, c."date" AS "Date", coalesce(s.Units_Sold, 0) AS Units_Sold, coalesce(s.Revenue, 0) AS Revenue,
   coalesce(s.Promotion, 0) AS Promotion, s.SKU IS NULL AS is_filled
-FROM (SELECT DISTINCT SKU FROM t_sales) k CROSS JOIN t_calendar c
+FROM (SELECT DISTINCT SKU FROM t_sales) k CROSS JOIN (SELECT "date" FROM t_calendar WHERE "date" >= (SELECT min("Date") FROM t_sales)) c
 LEFT JOIN t_sales s ON s.SKU = k.SKU AND s."Date" = c."date\""""
 
 TABLES["t_weekly0"] = f"""

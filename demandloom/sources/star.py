@@ -96,7 +96,7 @@ def ship_span(lineitem: DataFrame) -> DataFrame:
 
 
 def calendar(lineitem: DataFrame) -> DataFrame:
-    """One row per day between the first and the last shipping date."""
+    """One row per day from the start of the first shipping month to the last shipping date."""
     day = F.col("date")
     month, dom = F.month(day), F.dayofmonth(day)
     holiday = F.lit(None).cast("string")
@@ -108,7 +108,7 @@ def calendar(lineitem: DataFrame) -> DataFrame:
     weekday = F.weekday(day)
     return (
         ship_span(lineitem)
-        .select(F.explode(F.sequence("lo", "hi")).alias("date"))
+        .select(F.explode(F.sequence(F.date_trunc("month", "lo").cast("date"), F.col("hi"))).alias("date"))
         .select(
             "date",
             F.year(day).cast("bigint").alias("year"),
