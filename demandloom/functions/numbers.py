@@ -14,14 +14,11 @@ def half_even(value: Column, digits: int = 0) -> Column:
     return F.bround(value, digits)
 
 
-def corrected_skewness(value: Column) -> Column:
-    """Bias-corrected sample skewness (NULL below three values)."""
-    n = F.count(value).cast("double")
-    return F.when(n > 2, F.skewness(value) * F.sqrt(n * (n - 1)) / (n - 2))
+def corrected_skewness(g1: Column, n: Column) -> Column:
+    """Bias-corrected sample skewness from the population value (NULL below three values)."""
+    return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def corrected_kurtosis(value: Column) -> Column:
-    """Bias-corrected excess kurtosis (NULL below four values)."""
-    n = F.count(value).cast("double")
-    adjusted = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value) + 6)
-    return F.when(n > 3, adjusted)
+def corrected_kurtosis(g2: Column, n: Column) -> Column:
+    """Bias-corrected excess kurtosis from the population value (NULL below four values)."""
+    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import ratio
 from .prepare import join_category_median, price_tier_fixed
-from .timegrid import asof_join, join_static_params, weekly_filled
+from .timegrid import asof_join, join_static_params, week_span, weekly_filled
 
 # The published feature definitions.
 HORIZON = 8
@@ -33,10 +33,14 @@ def by_item(date: str = "week_start") -> W:
     return W.partitionBy("SKU").orderBy(date)
 
 
-def full_window(agg, column: str, width: int, date: str = "week_start") -> Column:
-    """Trailing aggregate that stays NULL until ``width`` rows exist."""
+def full_window(agg, column: str, width: int, date: str = "week_start", position: str | None = None) -> Column:
+    """Trailing aggregate that stays NULL until ``width`` rows exist.
+
+    A known zero-based ``position`` on a gap-free grid saves the count over the frame.
+    """
     frame = by_item(date).rowsBetween(-(width - 1), 0)
-    return F.when(F.count(F.lit(1)).over(frame) == width, agg(column).over(frame))
+    full = F.col(position) >= width - 1 if position else F.count(F.lit(1)).over(frame) == width
+    return F.when(full, agg(column).over(frame))
 
 
 def moving_avg_partial(column: str, width: int, window: W) -> Column:
@@ -44,23 +48,51 @@ def moving_avg_partial(column: str, width: int, window: W) -> Column:
     return F.avg(column).over(window.rowsBetween(-(width - 1), 0))
 
 
+def target_columns(horizon: int = HORIZON, date: str = "week_start") -> dict[str, Column]:
+    return {f"target_h{h}": F.lead("Units_Sold", h).over(by_item(date)) for h in range(1, horizon + 1)}
+
+
+def lag_columns(lags: Sequence[int] = LAGS, date: str = "week_start") -> dict[str, Column]:
+    """``lag_1`` is the origin week itself."""
+    return {f"lag_{k}": F.lag("Units_Sold", k - 1).over(by_item(date)) for k in lags}
+
+
+def rolling_columns(date: str = "week_start", position: str | None = None) -> dict[str, Column]:
+    def trailing(agg, width: int) -> Column:
+        return full_window(agg, "Units_Sold", width, date, position)
+
+    columns = {f"rolling_mean_{w}": trailing(F.avg, w) for w in MEAN_WINDOWS}
+    columns |= {f"rolling_std_{w}": trailing(F.stddev_samp, w) for w in STD_WINDOWS}
+    columns[f"rolling_min_{RANGE_WINDOW}"] = trailing(F.min, RANGE_WINDOW)
+    columns[f"rolling_max_{RANGE_WINDOW}"] = trailing(F.max, RANGE_WINDOW)
+    return columns
+
+
+def ewma_columns(position: str, date: str = "week_start") -> dict[str, Column]:
+    return {name: smoothed("Units_Sold", alpha, position, by_item(date)) for name, alpha in SMOOTHING.items()}
+
+
+def promo_columns(date: str = "week_start", position: str | None = None) -> dict[str, Column]:
+    def total(width: int) -> Column:
+        return full_window(F.sum, "promo_days", width, date, position)
+
+    columns = {f"promo_days_last_{w}w": F.coalesce(total(w), F.lit(0)).cast("bigint") for w in PROMO_WINDOWS}
+    w13 = PROMO_INTENSITY_WINDOW
+    columns[f"promo_intensity_last_{w13}w"] = total(w13) / F.lit(w13 * 7.0)
+    columns["promo_active_last_week"] = F.col("promo_active")
+    return columns
+
+
 def targets_multi_horizon(df: DataFrame, horizon: int = HORIZON, date: str = "week_start") -> DataFrame:
-    return df.withColumns(
-        {f"target_h{h}": F.lead("Units_Sold", h).over(by_item(date)) for h in range(1, horizon + 1)}
-    )
+    return df.withColumns(target_columns(horizon, date))
 
 
 def demand_lags(df: DataFrame, lags: Sequence[int] = LAGS, date: str = "week_start") -> DataFrame:
-    """``lag_1`` is the origin week itself."""
-    return df.withColumns({f"lag_{k}": F.lag("Units_Sold", k - 1).over(by_item(date)) for k in lags})
+    return df.withColumns(lag_columns(lags, date))
 
 
 def rolling_stats(df: DataFrame, date: str = "week_start") -> DataFrame:
-    columns = {f"rolling_mean_{w}": full_window(F.avg, "Units_Sold", w, date) for w in MEAN_WINDOWS}
-    columns |= {f"rolling_std_{w}": full_window(F.stddev_samp, "Units_Sold", w, date) for w in STD_WINDOWS}
-    columns[f"rolling_min_{RANGE_WINDOW}"] = full_window(F.min, "Units_Sold", RANGE_WINDOW, date)
-    columns[f"rolling_max_{RANGE_WINDOW}"] = full_window(F.max, "Units_Sold", RANGE_WINDOW, date)
-    return df.withColumns(columns)
+    return df.withColumns(rolling_columns(date))
 
 
 def smoothed(value: str, alpha: float, position: str, window: W) -> Column:
@@ -81,11 +113,8 @@ def smoothed(value: str, alpha: float, position: str, window: W) -> Column:
 
 
 def ewma(df: DataFrame, date: str = "week_start") -> DataFrame:
-    w = by_item(date)
-    indexed = df.withColumn("_t", F.row_number().over(w) - 1)
-    return indexed.withColumns(
-        {name: smoothed("Units_Sold", alpha, "_t", w) for name, alpha in SMOOTHING.items()}
-    ).drop("_t")
+    indexed = df.withColumn("_t", F.row_number().over(by_item(date)) - 1)
+    return indexed.withColumns(ewma_columns("_t", date)).drop("_t")
 
 
 def trend_ratios(df: DataFrame) -> DataFrame:
@@ -114,14 +143,7 @@ def calendar_features(df: DataFrame, date: str = "week_start") -> DataFrame:
 
 
 def promo_features(df: DataFrame, date: str = "week_start") -> DataFrame:
-    columns = {
-        f"promo_days_last_{w}w": F.coalesce(full_window(F.sum, "promo_days", w, date), F.lit(0)).cast("bigint")
-        for w in PROMO_WINDOWS
-    }
-    w13 = PROMO_INTENSITY_WINDOW
-    columns[f"promo_intensity_last_{w13}w"] = full_window(F.sum, "promo_days", w13, date) / F.lit(w13 * 7.0)
-    columns["promo_active_last_week"] = F.col("promo_active")
-    return df.withColumns(columns)
+    return df.withColumns(promo_columns(date))
 
 
 def price_features(df: DataFrame, master: DataFrame, date: str = "week_start") -> DataFrame:
@@ -141,23 +163,19 @@ def price_features(df: DataFrame, master: DataFrame, date: str = "week_start") -
     )
 
 
-def inventory_features(
-    df: DataFrame, snapshots: DataFrame, date: str = "week_start", static_params: str = "first"
-) -> DataFrame:
-    """Stock known at the origin, its age, and lead-time parameters; nothing is imputed.
-
-    ``snapshots`` has one row per (SKU, snapshot_date). ``static_params``: ``first`` takes each item's first
-    snapshot; ``asof`` takes the values known at the origin.
-    """
+def known_snapshots(df: DataFrame, snapshots: DataFrame, date: str, static_params: str) -> DataFrame:
+    """Latest known stock and the lead-time parameters of every (item, week)."""
     stock = ["Current_Stock", "On_Order"]
     params = ["Lead_Time_Days", "Safety_Stock", "Reorder_Point"]
-    carried = [*stock, *params] if static_params == "asof" else stock
-    out = asof_join(df, snapshots, "SKU", date, "snapshot_date", carried)
-    if static_params == "first":
-        out = join_static_params(out, snapshots, "first")
+    out = asof_join(df, snapshots, "SKU", date, "snapshot_date", [*stock, *params] if static_params == "asof" else stock)
+    return join_static_params(out, snapshots, "first") if static_params == "first" else out
+
+
+def stock_columns(df: DataFrame, date: str) -> DataFrame:
+    """Derived stock columns; a missing snapshot gives flags of 0 and no imputed stock."""
     age = F.datediff(date, "snapshot_date")
     return (
-        out.withColumnsRenamed({"Current_Stock": "latest_known_stock", "On_Order": "latest_known_on_order"})
+        df.withColumnsRenamed({"Current_Stock": "latest_known_stock", "On_Order": "latest_known_on_order"})
         .withColumns(
             {
                 "days_since_inventory_snapshot": age,
@@ -171,20 +189,37 @@ def inventory_features(
     )
 
 
+def inventory_features(
+    df: DataFrame, snapshots: DataFrame, date: str = "week_start", static_params: str = "first"
+) -> DataFrame:
+    """Stock known at the origin, its age, and lead-time parameters; nothing is imputed.
+
+    ``snapshots`` has one row per (SKU, snapshot_date). ``static_params``: ``first`` takes each item's first
+    snapshot; ``asof`` takes the values known at the origin.
+    """
+    return stock_columns(known_snapshots(df, snapshots, date, static_params), date)
+
+
 KEYS = ["SKU", "forecast_origin_date"]
 
 
 def feature_table(
     daily: DataFrame, master: DataFrame, snapshots: DataFrame, static_params: str = "first", days: DataFrame | None = None
 ) -> DataFrame:
-    """Keys, eight targets, and the feature columns in name order, for every (item, week)."""
-    df = weekly_filled(daily, days=days)
-    df = demand_lags(targets_multi_horizon(df))
-    df = trend_ratios(ewma(rolling_stats(df)))
-    df = promo_features(calendar_features(df))
-    df = inventory_features(df, snapshots, static_params=static_params)
-    df = price_features(df, master)
-    df = df.drop("Units_Sold", "promo_days", "promo_active").withColumnRenamed("week_start", "forecast_origin_date")
+    """Keys, eight targets, and the feature columns in name order, for every (item, week).
+
+    The as-of join runs on the narrow weekly panel; every window feature then comes from one further pass
+    over the same partitioning by item.
+    """
+    week = "week_start"
+    df = known_snapshots(weekly_filled(daily, days=days), snapshots, week, static_params)
+    span = week_span(days) if days is not None else df.agg(F.min(week).alias("lo"))
+    df = df.withColumn("_t", (F.datediff(week, span.select("lo").scalar()) / 7).cast("int"))
+    df = df.withColumns(
+        {**target_columns(), **lag_columns(), **rolling_columns(position="_t"), **ewma_columns("_t"), **promo_columns(position="_t")}
+    )
+    df = price_features(stock_columns(calendar_features(trend_ratios(df)), week), master)
+    df = df.drop("Units_Sold", "promo_days", "promo_active", "_t").withColumnRenamed(week, "forecast_origin_date")
     targets = [f"target_h{h}" for h in range(1, HORIZON + 1)]
     features = sorted(c for c in df.columns if c not in KEYS and c not in targets)
     return df.select(*KEYS, *targets, *features)

@@ -115,21 +115,21 @@ def quantiles(
     probabilities: Mapping[str, float],
     by: Sequence[str] = (),
     weight: str | None = None,
+    counted: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, overall or per group; ``weight`` holds repeat counts.
 
+    ``counted`` says that ``df`` is already checkpointed with one row per value.
+
     Equal values collapse to one counted row, running counts are scanned range by range, and every
     quantile is then read with a plain aggregate, so no task holds a whole group.
     """
     by = list(by)
     value = F.col(column).cast("double")
-    counts = (
-        df.select(*by, value.alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*by, "_v")
-        .agg(F.sum("_w").alias("_n"))
-    )
-    counts = cut_lineage(counts)
+    rows = df.select(*by, value.alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_n"))
+    counts = rows.filter(F.col("_v").isNotNull())
+    if not counted:
+        counts = cut_lineage(counts.groupBy(*by, "_v").agg(F.sum("_n").alias("_n")))
     scanned = prefix_scan(counts, [*by, "_v"], {"_upto": ("sum", "_n")}, materialised=True)
     if by:
         bounds = scanned.groupBy(*by).agg(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import corrected_kurtosis, corrected_skewness, ratio
+from ..sources.checkpoints import cut_lineage
 from .metrics import equal_width_bin
 from .ordered import quantiles, rank_min
 from .prepare import price_tier_quantile
@@ -36,18 +39,41 @@ def profile_dataset(df: DataFrame) -> DataFrame:
     return stack_metrics(one, metrics)
 
 
+def counted_moments(value: str = "Units_Sold", weight: str = "n") -> dict[str, Column]:
+    """Count, total, mean, sample deviation and zero share of pre-counted values."""
+    n, v = F.sum(weight), F.col(value).cast("double")
+    total, squares = F.sum(v * F.col(weight)), F.sum(v * v * F.col(weight))
+    spread = F.sqrt(F.greatest(F.lit(0.0), squares - total * total / n) / (n - 1))
+    return {
+        "count": n, "total": total.cast("bigint"), "mean": total / n, "std": F.when(n > 1, spread),
+        "zero_pct": F.sum(F.when(v == 0, F.col(weight)).otherwise(0)) / n * 100,
+    }
+
+
 def demand_distribution(df: DataFrame, column: str = "Units_Sold") -> DataFrame:
-    """Moments, exact quantiles and zero share of daily demand, one row."""
-    u = F.col(column).cast("double")
-    zeros = F.count_if(u == 0)
-    moments = df.agg(
-        F.sum(column).cast("bigint").alias("total_units"), F.avg(u).alias("mean"), F.stddev_samp(u).alias("std"),
-        F.min(column).alias("min"), F.max(column).alias("max"),
-        corrected_skewness(u).alias("skewness"), corrected_kurtosis(u).alias("kurtosis"),
-        zeros.alias("zero_demand_count"), (zeros / F.count(F.lit(1)) * 100).alias("zero_demand_pct"),
-        ratio(F.stddev_samp(u), F.avg(u)).alias("cv"),
+    """Moments, exact quantiles and zero share of daily demand, one row.
+
+    One pass counts the distinct values; everything else is computed from those counts.
+    """
+    counts = cut_lineage(df.groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    n, mean = F.sum("n"), counts.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m")).scalar()
+    d = F.col("v") - F.col("_m")
+
+    def power(k: int) -> Column:
+        return F.sum(F.pow(d, F.lit(float(k))) * F.col("n"))
+
+    size = n.cast("double")
+    g1 = F.sqrt(size) * power(3) / F.pow(power(2), F.lit(1.5))
+    g2 = size * power(4) / F.pow(power(2), F.lit(2.0)) - 3.0
+    spread = F.sqrt(power(2) / (size - 1))
+    zeros = F.sum(F.when(F.col("v") == 0, F.col("n")).otherwise(0))
+    moments = counts.withColumn("_m", mean).agg(
+        F.sum(F.col("v") * F.col("n")).cast("bigint").alias("total_units"), F.max("_m").alias("mean"), spread.alias("std"),
+        F.min("v").cast("bigint").alias("min"), F.max("v").cast("bigint").alias("max"),
+        corrected_skewness(g1, size).alias("skewness"), corrected_kurtosis(g2, size).alias("kurtosis"),
+        zeros.alias("zero_demand_count"), (zeros / n * 100).alias("zero_demand_pct"), ratio(spread, F.max("_m")).alias("cv"),
     )
-    marks = quantiles(df, column, QUANTILES).select(F.struct(*QUANTILES).alias("q")).scalar()
+    marks = quantiles(counts, "v", QUANTILES, weight="n", counted=True).select(F.struct(*QUANTILES).alias("q")).scalar()
     return moments.withColumn("_q", marks).select(
         "*", *[F.col(f"_q.{q}").alias(q) for q in QUANTILES], F.col("_q.q50").alias("median")
     ).drop("_q")
@@ -63,7 +89,7 @@ def intermittency_class(adi: Column, cv2: Column) -> Column:
     )
 
 
-def item_demand(df: DataFrame) -> DataFrame:
+def item_demand(df: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
     """Per-item totals, moments and intermittency measures (combines on the map side)."""
     u = F.col("Units_Sold").cast("double")
     sold = F.when(F.col("Units_Sold") > 0, u)
@@ -76,47 +102,61 @@ def item_demand(df: DataFrame) -> DataFrame:
         F.max("Units_Sold").alias("Max_Daily_Demand"), F.count_if(F.col("Units_Sold") == 0).alias("Zero_Demand_Days"),
         (F.count_if(F.col("Units_Sold") == 0) / n * 100).alias("Zero_Demand_Pct"),
         F.when(F.avg(u) > 0, F.stddev_samp(u) / F.avg(u)).otherwise(0.0).alias("CV"),
-        ratio(n, nz).alias("ADI"), cv2.alias("CV2"), F.sum("Revenue").alias("Total_Revenue"),
+        ratio(n, nz).alias("ADI"), cv2.alias("CV2"), F.sum("Revenue").alias("Total_Revenue"), *extra,
     ).withColumn("Intermittency_Class", intermittency_class(F.col("ADI"), F.col("CV2")))
 
 
+def sparse_classes(df: DataFrame, periods: Column) -> DataFrame:
+    """Intermittency class per item from its non-zero rows alone; ``periods`` is the length of the full grid."""
+    u = F.when(F.col("Units_Sold") > 0, F.col("Units_Sold").cast("double"))
+    stats = df.groupBy("SKU").agg(
+        F.count(u).alias("_nz"), F.pow(ratio(F.coalesce(F.stddev_samp(u), F.lit(0.0)), F.avg(u)), F.lit(2.0)).alias("_cv2")
+    ).withColumn("_n", periods)
+    adi, cv2 = ratio(F.col("_n"), F.col("_nz")), F.coalesce("_cv2", F.lit(0.0))
+    return stats.select("SKU", adi.alias("ADI"), cv2.alias("CV2"), intermittency_class(adi, cv2).alias("Intermittency_Class"))
+
+
 def sku_demand_profile(df: DataFrame, master: DataFrame) -> DataFrame:
     """Item profile with median, master columns and the three ranks.
 
-    The median per item reads value counts bounded by the item's number of days.
+    The median per item reads value counts bounded by the item's number of days. The per-item table is
+    checkpointed, as the ranks and the result both read it.
     """
-    stats = item_demand(df).withColumns(
+    stats = item_demand(df, [F.percentile(F.col("Units_Sold"), 0.5).alias("Median_Daily_Demand")]).withColumns(
         {"CV": F.round("CV", 3), "Total_Revenue": F.round("Total_Revenue", 2)}
     )
-    medians = df.groupBy("SKU").agg(F.percentile(F.col("Units_Sold"), 0.5).alias("Median_Daily_Demand"))
     names = master.select("SKU", "Product_Name", "Category", "Subcategory", "Selling_Price", "Cost_Price", "negative_margin_flag")
     ranked = rank_min(
-        stats, {"Total_Units_Sold": "Volume_Rank", "Total_Revenue": "Revenue_Rank", "CV": "Variability_Rank"}
+        cut_lineage(stats), {"Total_Units_Sold": "Volume_Rank", "Total_Revenue": "Revenue_Rank", "CV": "Variability_Rank"}
     )
-    return ranked.join(medians, "SKU").join(names, "SKU", "left")
+    return ranked.join(names, "SKU", "left")
 
 
 def temporal_patterns(panel: DataFrame) -> DataFrame:
-    """Demand by weekday, weekend, month, quarter, year and season: one grouping-sets aggregate."""
+    """Demand by weekday, weekend, month, quarter, year and season.
+
+    The panel is read once into counts per (units, calendar cell); the grouping sets and the medians use those.
+    """
     dims = {
         "Day_of_Week": F.col("day_of_week"),
         "Weekend": F.when(F.col("is_weekend") == 1, "Weekend").otherwise("Weekday"),
         "Month": F.concat(F.lit("Month_"), F.lpad(F.col("month").cast("string"), 2, "0")),
         "Quarter": F.col("quarter"), "Year": F.col("year").cast("string"), "Season": F.col("season"),
     }
-    base = panel.select("Units_Sold", *[v.alias(k) for k, v in dims.items()])
-    u = F.col("Units_Sold").cast("double")
-    total = panel.agg(F.sum("Units_Sold")).scalar()
+    counted = cut_lineage(
+        panel.groupBy("Units_Sold", *[v.alias(k) for k, v in dims.items()]).agg(F.count(F.lit(1)).alias("n"))
+    )
+    total = counted.agg(F.sum(F.col("Units_Sold") * F.col("n"))).scalar()
     name, level = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k in dims:
         name = F.when(F.grouping(k) == 0, k).otherwise(name)
         level = F.when(F.grouping(k) == 0, F.col(k)).otherwise(level)
-    stats = base.groupingSets([[F.col(k)] for k in dims], *[F.col(k) for k in dims]).agg(
-        name.alias("Dimension"), level.alias("Level"), F.count(F.lit(1)).alias("Observations"),
-        F.sum("Units_Sold").cast("bigint").alias("Total_Units"), F.avg(u).alias("Mean_Units"), F.stddev_samp(u).alias("Std_Units"),
+    m = counted_moments()
+    stats = counted.groupingSets([[F.col(k)] for k in dims], *[F.col(k) for k in dims]).agg(
+        name.alias("Dimension"), level.alias("Level"), m["count"].alias("Observations"), m["total"].alias("Total_Units"),
+        m["mean"].alias("Mean_Units"), m["std"].alias("Std_Units"),
     )
     pairs = F.array(*[F.struct(F.lit(k).alias("Dimension"), F.col(k).alias("Level")) for k in dims])
-    counted = base.groupBy("Units_Sold", *dims).agg(F.count(F.lit(1)).alias("n"))
     medians = quantiles(
         counted.select("Units_Sold", "n", F.inline(pairs)), "Units_Sold", {"Median_Units": 0.5}, ["Dimension", "Level"], "n"
     )
@@ -157,25 +197,20 @@ def category_summary(panel: DataFrame) -> DataFrame:
 
 
 def promotion_lift(panel: DataFrame) -> DataFrame:
-    """Demand with and without promotion, overall and per category, and the lift in percent."""
-    u = F.col("Units_Sold").cast("double")
-    scope = F.when(F.grouping("Category") == 1, "Global").otherwise(F.concat(F.lit("Category_"), F.col("Category")))
-    stats = panel.groupingSets(
-        [[F.col("Promotion")], [F.col("Category"), F.col("Promotion")]], F.col("Category"), F.col("Promotion")
-    ).agg(
-        scope.alias("Scope"), F.count(F.lit(1)).alias("Observations"), F.sum("Units_Sold").cast("bigint").alias("Total_Units"),
-        F.avg(u).alias("Mean_Daily_Units"), F.stddev_samp(u).alias("Std_Daily_Units"),
-        (F.count_if(u == 0) / F.count(F.lit(1)) * 100).alias("Zero_Demand_Pct"),
-    )
-    counted = panel.groupBy("Category", "Promotion", "Units_Sold").agg(F.count(F.lit(1)).alias("n"))
+    """Demand with and without promotion, overall and per category, and the lift in percent; one pass over the panel."""
+    counted = cut_lineage(panel.groupBy("Category", "Promotion", "Units_Sold").agg(F.count(F.lit(1)).alias("n")))
     both = F.explode(F.array(F.lit("Global"), F.concat(F.lit("Category_"), F.col("Category"))))
-    medians = quantiles(
-        counted.withColumn("Scope", both), "Units_Sold", {"Median_Daily_Units": 0.5}, ["Scope", "Promotion"], "n"
+    scoped = counted.withColumn("Scope", both)
+    m = counted_moments()
+    stats = scoped.groupBy("Scope", "Promotion").agg(
+        m["count"].alias("Observations"), m["total"].alias("Total_Units"), m["mean"].alias("Mean_Daily_Units"),
+        m["std"].alias("Std_Daily_Units"), m["zero_pct"].alias("Zero_Demand_Pct"),
     )
+    medians = quantiles(scoped, "Units_Sold", {"Median_Daily_Units": 0.5}, ["Scope", "Promotion"], "n")
     # At most two rows (with and without promotion) per scope meet in this window.
     base = F.max(F.when(F.col("Promotion") == 0, F.col("Mean_Daily_Units"))).over(W.partitionBy("Scope"))
     return (
-        stats.drop("Category").join(medians, ["Scope", "Promotion"]).withColumn("_base", base)
+        stats.join(medians, ["Scope", "Promotion"]).withColumn("_base", base)
         .select(
             "Scope", F.when(F.col("Promotion") == 1, "Promotion (1)").otherwise("No Promotion (0)").alias("Group"),
             "Observations", "Total_Units", "Mean_Daily_Units", "Median_Daily_Units", "Std_Daily_Units", "Zero_Demand_Pct",
@@ -197,9 +232,10 @@ def price_demand(panel: DataFrame) -> DataFrame:
 
 def demand_outliers(panel: DataFrame) -> DataFrame:
     """Rows far above the usual demand, with the known reasons; nothing is removed from the data."""
-    marks = quantiles(panel, "Units_Sold", {"q25": 0.25, "q75": 0.75}).select(F.struct("q25", "q75").alias("q")).scalar()
-    u = F.col("Units_Sold").cast("double")
-    spread = panel.agg((F.avg(u) + SIGMA_FACTOR * F.stddev_samp(u)).alias("z")).scalar()
+    counts = cut_lineage(panel.groupBy(F.col("Units_Sold").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    marks = quantiles(counts, "v", {"q25": 0.25, "q75": 0.75}, weight="n", counted=True).select(F.struct("q25", "q75").alias("q")).scalar()
+    m = counted_moments("v")
+    spread = counts.agg((m["mean"] + SIGMA_FACTOR * m["std"]).alias("z")).scalar()
     reasons = F.concat_ws(
         "; ",
         F.when(F.col("Promotion") == 1, "Active_Promotion"),

@@ -228,7 +228,8 @@ _SUITE = _all(
 
 
 def _suite(c):
-    return quality.quality_suite(c.sales, c.master, c.calendar, c.inventory, (1995, 2001))
+    """The four inputs are views here, so they are stored before some thirty checks read them."""
+    return quality.quality_suite(c.stored(c.sales), c.stored(c.master), c.stored(c.calendar), c.stored(c.inventory), (1995, 2001))
 
 
 @query("dq_suite", _SUITE)
@@ -270,7 +271,7 @@ def _inv(check: str, n: str) -> str:
 )
 def _(c):
     expected = {"rows": 1000, "skus": 100, "dates": 2400, "negative_margin_skus": 30, "orphan_skus": 100, "quarantine_rows": 7000}
-    return quality.panel_invariants(c.panel, c.quarantine, expected)
+    return quality.panel_invariants(c.stored(c.panel), c.stored(c.quarantine), expected)
 
 
 @query(

@@ -91,9 +91,17 @@ class Context:
 
     @cached_property
     def item_class(self) -> DataFrame:
-        classes = profile.item_demand(self.daily_filled).select("SKU", "Intermittency_Class")
+        # Filling the gaps would only add zeros, so the classes come from the sales rows and the number of days.
+        periods = self.days.select(F.datediff("hi", "lo") + 1).scalar()
+        classes = profile.sparse_classes(self.sales, periods).select("SKU", "Intermittency_Class")
         return classes.join(self.norm_master.select("SKU", "Category", "Subcategory"), "SKU", "left")
 
+    def stored(self, df: DataFrame) -> DataFrame:
+        """``df`` written once to the shared folder and read back: for derived inputs that several checks read."""
+        path = f"{work_dir(self.spark)}/stored"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @cached_property
     def weekly_meta(self) -> DataFrame:
         return timegrid.weekly_demand_meta(self.weekly, self.item_class)

@@ -1,4 +1,4 @@
-"""The production run: validate, forecast, score, decide, export — one lazy plan with counts taken on the way."""
+"""The production run: validate, forecast, score, decide, export, with row counts observed on the way."""
 
 from __future__ import annotations
 
@@ -19,20 +19,11 @@ class ProductionRun:
     manifest: DataFrame
 
 
-def production_plan(c: Context, requested: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Forecasts, risk rows and recommendations of one origin, not yet executed.
-
-    ``requested`` must be a weekly forecast origin; without it the latest origin is used.
-    """
+def forecast_origin(c: Context, requested: str | None = None) -> DataFrame:
+    """The requested weekly origin, or the latest rolling origin."""
     if requested is None:
-        origin = c.last_origin
-    else:
-        origin = c.days.select(F.to_date(F.lit(requested)).alias("forecast_origin"))
-    fc = forecast.baseline_forecasts(c.weekly, origin, ["seasonal_naive"])
-    scaffold = timegrid.scaffold_origin_sku(c.norm_master, origin.withColumnRenamed("forecast_origin", "origin_date"))
-    scored = risk.risk_scores(scaffold, fc, c.origin_snapshots)
-    recs = decide.recommendations(scored, c.norm_master, status="POLICY_RATIFIED")
-    return fc, scored, recs
+        return c.last_origin
+    return c.days.select(F.to_date(F.lit(requested)).alias("forecast_origin"))
 
 
 def production_run(c: Context, root: str, requested: str | None = None) -> ProductionRun:
@@ -46,14 +37,19 @@ def production_run(c: Context, root: str, requested: str | None = None) -> Produ
     for part in checks[1:]:
         results = results.unionByName(part)
     sinks.sink_parquet(quality.halt_on_critical(results), f"{root}/checks")
-    fc, scored, _ = production_plan(c, requested)
     seen = {name: Observation(name) for name in ("forecasts", "risk", "recommendations")}
-    sinks.sink_parquet(fc.observe(seen["forecasts"], F.count(F.lit(1)).alias("rows")), f"{root}/forecasts")
-    sinks.sink_parquet(scored.observe(seen["risk"], F.count(F.lit(1)).alias("rows")), f"{root}/risk")
-    # Decisions read the written risk table, so scoring runs once.
-    recs = decide.recommendations(spark.read.parquet(f"{root}/risk"), c.norm_master, status="POLICY_RATIFIED")
-    sinks.sink_parquet(recs.observe(seen["recommendations"], F.count(F.lit(1)).alias("rows")), f"{root}/recommendations")
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        """Write one output and hand the stored table to the next stage, so nothing is computed twice."""
+        path = sinks.sink_parquet(df.observe(seen[name], F.count(F.lit(1)).alias("rows")), f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(path)
+
+    origin = forecast_origin(c, requested)
+    fc = stage("forecasts", forecast.baseline_forecasts(c.weekly, origin, ["seasonal_naive"]))
+    scaffold = timegrid.scaffold_origin_sku(c.norm_master, origin.withColumnRenamed("forecast_origin", "origin_date"))
+    scored = stage("risk", risk.risk_scores(scaffold, fc, c.origin_snapshots))
+    recs = stage("recommendations", decide.recommendations(scored, c.norm_master, status="POLICY_RATIFIED"))
     rows = ", ".join(f"('{name}', {obs.get['rows']}L)" for name, obs in seen.items())
     manifest = spark.sql(f"SELECT * FROM VALUES {rows} AS m(stage, n_rows)")
     sinks.sink_json_records(manifest, f"{root}/manifest")
-    return ProductionRun(spark.read.parquet(f"{root}/recommendations"), manifest)
+    return ProductionRun(recs, manifest)
