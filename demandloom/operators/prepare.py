@@ -12,7 +12,7 @@ REVENUE_TOLERANCE = 0.01
 def _guarded(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Fail the job on the first row that breaks a rule; no extra pass over the data."""
     guard = F.lit(True)
-    for message, broken in rules.items():
+    for message, broken in reversed(rules.items()):
         guard = F.when(F.coalesce(broken, F.lit(False)), F.raise_error(F.lit(message)).cast("boolean")).otherwise(guard)
     return df.filter(guard)
 
