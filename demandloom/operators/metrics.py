@@ -142,9 +142,10 @@ def tuned_vs_untuned(tuned: DataFrame, untuned: DataFrame) -> DataFrame:
     )
 
 
-def actual_vs_prediction(df: DataFrame, sku: str, models: Sequence[str], horizon: int = 1) -> DataFrame:
-    """One item's series at one horizon, models side by side."""
+def actual_vs_prediction(df: DataFrame, models: Sequence[str], sku: str | None = None, horizon: int = 1) -> DataFrame:
+    """Series at one horizon, models side by side, of one item or of all items."""
+    rows = df.filter(F.col("SKU") == sku) if sku else df
     return (
-        df.filter((F.col("SKU") == sku) & (F.col("horizon") == horizon))
-        .groupBy("target_week", "actual").pivot("model", list(models)).agg(F.max("forecast"))
+        rows.filter(F.col("horizon") == horizon)
+        .groupBy("SKU", "target_week", "actual").pivot("model", list(models)).agg(F.max("forecast"))
     )

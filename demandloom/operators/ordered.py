@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..sources.checkpoints import cut_lineage
 
 RANGES = 64
-SAMPLE_ROWS = 2048
+MAX_RANGES = 1024
+ROWS_PER_RANGE = 1_000_000
+SAMPLES_PER_RANGE = 32
 ONE_RANGE_ROWS = 100_000
 
 _SCANS = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -32,7 +34,7 @@ def assign_ranges(df: DataFrame, order: Sequence[str], ranges: int = RANGES) ->
     sample = (
         df.select(*order)
         .orderBy(F.xxhash64(*order), *order)
-        .limit(SAMPLE_ROWS)
+        .limit(ranges * SAMPLES_PER_RANGE)
         .agg(F.sort_array(F.collect_list(_order_key(order))).alias("s"))
     )
     step = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(ranges)).cast("int"))
@@ -58,16 +60,17 @@ def prefix_scan(
     """
     if not materialised:
         df = cut_lineage(df)
-    if df.count() <= one_range_rows:
+    rows = df.count()
+    if rows <= one_range_rows:
         whole = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({out: _SCANS[fn](col).over(whole) for out, (fn, col) in measures.items()})
-    ranged = assign_ranges(df, order, ranges)
+    ranged = assign_ranges(df, order, min(MAX_RANGES, max(ranges, rows // ROWS_PER_RANGE)))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     totals = ranged.groupBy("_range").agg(
         *[_SCANS[fn](col).alias(f"_t_{out}") for out, (fn, col) in measures.items()]
     )
-    # At most RANGES rows reach this window: one total per range.
+    # At most MAX_RANGES rows reach this window: one total per range.
     carried = totals.select(
         "_range",
         *[_SCANS[fn](f"_t_{out}").over(before).alias(f"_c_{out}") for out, (fn, _) in measures.items()],

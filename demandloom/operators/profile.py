@@ -370,7 +370,7 @@ def topk_sku_volume(daily: DataFrame, k: int = 15) -> DataFrame:
 
 
 def representative_skus(daily: DataFrame, place: int = 25) -> DataFrame:
-    """Highest volume, ``place``-th by volume, most variable and lowest volume item."""
+    """Highest volume, ``place``-th by volume (NULL with fewer items), most variable and lowest volume item."""
     stats = item_demand(daily).select("SKU", "Total_Units_Sold", F.round("CV", 9).alias("CV"))
     ends = stats.agg(
         F.min_by("SKU", F.struct(-F.col("Total_Units_Sold"), F.col("SKU"))).alias("highest_volume"),
@@ -378,7 +378,8 @@ def representative_skus(daily: DataFrame, place: int = 25) -> DataFrame:
         F.min_by("SKU", F.struct("Total_Units_Sold", "SKU")).alias("lowest_volume"),
     )
     head = stats.orderBy(F.desc("Total_Units_Sold"), "SKU").limit(place)
-    mid = head.agg(F.max_by("SKU", F.struct(-F.col("Total_Units_Sold"), F.col("SKU")))).scalar()
+    last = F.max_by("SKU", F.struct(-F.col("Total_Units_Sold"), F.col("SKU")))
+    mid = head.agg(F.when(F.count(F.lit(1)) == place, last)).scalar()
     roles = ("highest_volume", "mid_volume", "most_variable", "lowest_volume")
     one = ends.withColumn("mid_volume", mid)
     return one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("SKU")) for r in roles])))

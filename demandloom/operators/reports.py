@@ -118,18 +118,16 @@ def forward_trajectory(forecasts: DataFrame, history: DataFrame) -> DataFrame:
     return ahead.join(base, "SKU", "left").withColumn("demand_drift_pct", drift)
 
 
-def sku_dossier(recs: DataFrame, forecasts: DataFrame, sku: str) -> DataFrame:
-    """One item's latest recommendation with its ordered forecasts; an unknown item raises."""
-    mine = forecasts.filter(F.col("SKU") == sku)
-    steps = mine.groupBy(F.col("SKU").alias("sku"), F.col("forecast_origin").cast("string").alias("origin_date")).agg(
+def sku_dossier(recs: DataFrame, forecasts: DataFrame, sku: str | None = None) -> DataFrame:
+    """Recommendation and ordered forecasts of one item (an unknown item raises) or of every item."""
+    steps = forecasts.groupBy(F.col("SKU").alias("sku"), F.col("forecast_origin").cast("string").alias("origin_date")).agg(
         F.sort_array(F.collect_list(F.struct("horizon", "forecast"))).alias("s")
     )
-    rec = recs.filter(F.col("sku") == sku)
-    found = rec.agg(F.count(F.lit(1)).alias("n")).select(
-        F.when(F.col("n") == 0, F.raise_error(F.lit(f"no active recommendation for {sku}")).cast("bigint")).otherwise(F.col("n"))
-    ).scalar()
-    joined = rec.join(steps, ["sku", "origin_date"], "left").withColumn("_found", found).filter(F.col("_found") > 0)
-    return joined.select(
+    if sku is not None:
+        known = recs.agg(F.bool_or(F.col("sku") == sku)).scalar()
+        missing = F.raise_error(F.lit(f"no active recommendation for {sku}")).cast("boolean")
+        recs = recs.withColumn("_known", known).filter(F.when(~F.col("_known"), missing).otherwise(F.col("sku") == sku))
+    return recs.join(steps, ["sku", "origin_date"], "left").select(
         "origin_date", "sku", "product_name", "category", "recommendation_code", "priority_rank", "weeks_of_cover",
         *[F.get("s.forecast", h - 1).alias(f"forecast_h{h}") for h in range(1, 9)],
     )

@@ -200,11 +200,11 @@ def _(c):
 
 @query(
     "actual_vs_prediction",
-    "SELECT target_week, actual, max(forecast) FILTER (model = 'naive') AS naive, max(forecast) FILTER (model = 'ses') AS ses FROM t_fc WHERE SKU = 'SKU007' AND horizon = 1 GROUP BY 1, 2",
+    "SELECT SKU, target_week, actual, max(forecast) FILTER (model = 'naive') AS naive, max(forecast) FILTER (model = 'ses') AS ses FROM t_fc WHERE horizon = 1 GROUP BY 1, 2, 3",
     "naive ses",
 )
 def _(c):
-    return metrics.actual_vs_prediction(c.forecasts, "SKU007", ["naive", "ses"])
+    return metrics.actual_vs_prediction(c.forecasts, ["naive", "ses"])
 
 
 # --- forward series ----------------------------------------------------------------------------------

@@ -294,10 +294,10 @@ def _(c):
     "residual_histogram",
     """SELECT model, CAST(coalesce(least(floor((x - lo) * 40 / nullif(hi - lo, 0)) + 1, 40), 1) AS INTEGER) AS bin, count(*) AS n
     FROM (SELECT model, x, min(x) OVER (PARTITION BY model) AS lo, max(x) OVER (PARTITION BY model) AS hi FROM (
-      SELECT model, actual - forecast AS x FROM t_fc WHERE actual IS NOT NULL AND model IN ('naive', 'seasonal_naive'))) GROUP BY 1, 2""",
+      SELECT model, actual - forecast AS x FROM t_fc WHERE actual IS NOT NULL)) GROUP BY 1, 2""",
 )
 def _(c):
-    return residual_histogram(c.forecasts.filter(F.col("model").isin("naive", "seasonal_naive")))
+    return residual_histogram(c.forecasts)
 
 
 @query(

@@ -185,11 +185,11 @@ def _(c):
     "sku_dossier",
     "SELECT l.origin_date, sku, product_name, category, recommendation_code, priority_rank, weeks_of_cover, "
     + ", ".join(f"(SELECT max(forecast) FROM t_sn s WHERE s.SKU = l.sku AND horizon = {h} AND CAST(s.forecast_origin AS VARCHAR) = l.origin_date) AS forecast_h{h}" for h in range(1, 9))
-    + " FROM t_last l WHERE sku = 'SKU003'",
+    + " FROM t_last l",
     "weeks_of_cover " + " ".join(f"forecast_h{h}" for h in range(1, 9)),
 )
 def _(c):
-    return reports.sku_dossier(c.latest_recs, c.last_seasonal, "SKU003")
+    return reports.sku_dossier(c.latest_recs, c.last_seasonal)
 
 
 @query(

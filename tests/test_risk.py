@@ -120,3 +120,14 @@ def test_inbound_policies(spark):
     inv = spark.createDataFrame([(SNAP, "A", 20.0, 100.0, 21.0, 15.0, 30.0)], "Snapshot_Date date, SKU string, Current_Stock double, On_Order double, Lead_Time_Days double, Safety_Stock double, Reorder_Point double")
     rows = {p: risk.positions(keys, vec, inv, p).first()["ip"][:3] for p in risk.ARRIVALS}
     assert rows == {"Policy_A": [110, 100, 90], "Policy_B1": [10, 100, 90], "Policy_B_LT": [10, 0, 90], "Policy_D": [10, 0, -10]}
+
+
+def test_dossier_of_an_unknown_item_raises(spark):
+    from demandloom.operators.reports import sku_dossier
+
+    recs = decide.recommendations(score(spark, {"SKU001": (100, 0, 7, 10, 5)}), master(spark, "SKU001"))
+    fc = spark.createDataFrame([("SKU001", ORIGIN, h, float(h)) for h in range(8, 0, -1)], "SKU string, forecast_origin date, horizon int, forecast double")
+    row = sku_dossier(recs, fc, "SKU001").first()
+    assert [row[f"forecast_h{h}"] for h in range(1, 9)] == [1, 2, 3, 4, 5, 6, 7, 8]
+    with pytest.raises(Exception, match="no active recommendation for SKU404"):
+        sku_dossier(recs, fc, "SKU404").collect()
