@@ -39,10 +39,13 @@ def assign_ranges(df: DataFrame, order: Sequence[str], ranges: int = RANGES) ->
     )
     step = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(ranges)).cast("int"))
     borders = sample.select(F.filter("s", lambda _, i: (i > 0) & (i % step == 0)).alias("b")).scalar()
+    steps = ", ".join(str(2**i) for i in reversed(range(MAX_RANGES.bit_length())))
+    # Binary search: the number of borders at or below the row's key.
+    search = f"aggregate(array({steps}), 0, (p, s) -> IF(coalesce(get(_borders, p + s - 1) <= _key, false), p + s, p))"
     return (
-        df.withColumn("_borders", borders)
-        .withColumn("_range", F.size(F.filter("_borders", lambda b: b <= _order_key(order))))
-        .drop("_borders")
+        df.withColumns({"_borders": borders, "_key": _order_key(order)})
+        .withColumn("_range", F.expr(search))
+        .drop("_borders", "_key")
     )
 
 

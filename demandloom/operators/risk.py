@@ -55,8 +55,17 @@ def whole(x: str) -> str:
 
 
 def one_decimal(x: str) -> str:
-    """One-decimal text of an SQL expression, ties to even; an infinite value reads ``inf``."""
-    return f"CASE WHEN {x} = double('Infinity') THEN 'inf' ELSE CAST(CAST(bround(nullif({x}, double('Infinity')), 1) AS DECIMAL(28, 1)) AS STRING) END"
+    """One-decimal text of a non-negative SQL expression; an infinite value reads ``inf``.
+
+    Borders lie at odd multiples of 1/20. A value whose shortest text ends on a border may lie above or below it in
+    binary, so the side is taken from an exact difference (the value is split into a float and its remainder,
+    which 20 multiplies without rounding); true ties go to the even digit.
+    """
+    m = f"CAST(round({x} * 20) AS BIGINT)"
+    side = f"((20 * double(float({x})) - {m}) + 20 * ({x} - double(float({x}))))"
+    tie = f"IF(pmod({m} - 1, 4) = 0, {m} - 1, {m} + 1)"
+    tenths = f"(CASE WHEN {m} % 2 = 0 THEN {m} WHEN {side} > 0 THEN {m} + 1 WHEN {side} < 0 THEN {m} - 1 ELSE {tie} END div 2)"
+    return f"CASE WHEN {x} = double('Infinity') THEN 'inf' ELSE concat({tenths} div 10, '.', {tenths} % 10) END"
 
 
 def _pick(columns: Sequence[str], aliases: Sequence[str]) -> str | None:

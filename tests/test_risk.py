@@ -131,3 +131,9 @@ def test_dossier_of_an_unknown_item_raises(spark):
     assert [row[f"forecast_h{h}"] for h in range(1, 9)] == [1, 2, 3, 4, 5, 6, 7, 8]
     with pytest.raises(Exception, match="no active recommendation for SKU404"):
         sku_dossier(recs, fc, "SKU404").collect()
+
+
+def test_one_decimal_text_equals_python(spark):
+    values = [i / 20 for i in range(0, 400)] + [0.25, 1.05, 1.15, 2.675, 1e6 + 0.05, 123456.75, 0.049999999999999996, 3.0000000000000004]
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    assert [r[0] for r in df.selectExpr(risk.one_decimal("x")).collect()] == [f"{v:.1f}" for v in values]
