@@ -149,17 +149,19 @@ def load_models(root: str, horizons: Sequence[int]) -> dict[int, PipelineModel]:
 def tune_grid(
     features: DataFrame, origins: Sequence, grids: Mapping[str, Sequence[dict]], horizons: Sequence[int]
 ) -> DataFrame:
-    """Trial table: pooled WAPE over the validation origins of every configuration and horizon."""
-    parts = []
+    """Trial table: pooled WAPE over the validation origins of every configuration and horizon.
+
+    Each trial is scored as soon as it is fitted, one row per horizon, so the plan does not grow with the grid.
+    """
+    rows = []
     for family, configs in grids.items():
         for trial, config in enumerate(configs):
             preds = backtest_models(features, origins, [family], horizons, {family: config})
             scored = forecast_metrics(preds, ["model", "horizon"], forecast="prediction")
-            parts.append(scored.withColumn("trial_id", F.lit(trial)).withColumn("config", F.lit(json.dumps(config, sort_keys=True))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            text = json.dumps(config, sort_keys=True)
+            rows += [(*r, trial, text) for r in scored.select("model", "horizon", "WAPE", "MAE", "RMSE", "n_forecasts").collect()]
+    schema = "model string, horizon int, WAPE double, MAE double, RMSE double, n_forecasts bigint, trial_id int, config string"
+    return features.sparkSession.createDataFrame(rows, schema)
 
 
 def retrain_best(features: DataFrame, trials: DataFrame, family: str, horizons: Sequence[int]) -> dict[int, PipelineModel]:
