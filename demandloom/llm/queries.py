@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .decontaminate import shared_passages
 from .language import identify_language
 from .packing import pack_sequences
+from .secret_scan import KINDS, scan_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +44,21 @@ def fold(key: str, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folds)), F.lit(0))
 
 
+def joined_spans(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(documents(spark, sf_dir))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k, *_ in KINDS]
+    base = F.filter("spans", lambda s: s["kind_rank"] < len(KINDS))
+    return found.select(
+        F.col("SKU").alias("doc_id"), *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans")
+    )
+
+
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack_items(documents(spark, sf_dir)))
@@ -69,3 +86,32 @@ def identified(docs: DataFrame, keep: list[str]) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = identified(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+SQL_OP7 = """
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents),
+b AS (
+    SELECT item_id, w, least(len(w), 10) AS m
+    FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark)
+    WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, m, list_slice(w, s, s + m - 1) AS span FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS s FROM b)),
+dw AS (SELECT doc_id, s, m, list_slice(w, s, s + m - 1) AS span
+       FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM b) WHERE len(w) >= m)),
+h AS (SELECT doc_id, s, m, item_id FROM dw JOIN bw USING (m, span)),
+p AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS at FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+@query("op7_decontamination", SQL_OP7)
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shared_passages(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("SKU").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .queries import as_items, fold, identified, pack_items, piece_digests
+from .decontaminate import shared_passages
+from .queries import as_items, identified, pack_items, piece_digests, table
+from .secret_scan import scan_secrets
 
 #: A document stays if its best language has at least this posterior probability.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -16,5 +18,23 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return good.drop("lang_pred", "score")
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents with a benchmark passage."""
+    me = F.struct("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    items = docs.select(me.alias("SKU"), F.col("text").alias("Product_Name"))
+    bad = shared_passages(items, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.to_json("SKU").alias("_me")).distinct()
+    return docs.withColumn("_me", F.to_json(me)).join(bad, "_me", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep every document; replace its secrets by a mark and bring ``n_chars`` up to date."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    items = docs.select(F.struct(*others, "n_chars").alias("SKU"), F.col("text").alias("Product_Name"))
+    text = F.col("redacted")
+    n_chars = F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("SKU.n_chars"))
+    out = scan_secrets(items, keep_text=True).select(*[F.col(f"SKU.{c}") for c in others], text.alias("text"), n_chars.alias("n_chars"))
+    return out.select(*docs.columns)
+
+
 def pack_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_digests(pack_items(as_items(docs)))
