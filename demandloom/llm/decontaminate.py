@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.checkpoints import work_dir
@@ -17,17 +19,25 @@ def benchmark_words(text: Column) -> Column:
     return F.filter(F.split(lowered, BETWEEN), lambda w: w != "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sliding(values: Column, size: int, combine: Callable[..., Column]) -> Column:
+    """``combine`` of every ``size`` consecutive values of an array; none if it has fewer."""
+    steps = lambda v: F.when(F.size(v) >= size, F.sequence(F.lit(0), F.size(v) - size)).otherwise(F.array().cast("array<int>"))
+    return bound(values, lambda v: F.transform(steps(v), lambda i: combine(*[F.get(v, i + j) for j in range(size)])))
+
+
 def gram_hashes(words: Column, size: int) -> Column:
     """A hash of the ``size`` words from each position, as far as there are so many."""
-    last = F.size(words) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))).otherwise(F.array().cast("array<bigint>"))
+    return sliding(words, size, F.xxhash64)
 
 
 def winnowed(hashes: Column, window: int) -> Column:
-    """The smallest hash of every ``window`` consecutive ones."""
-    last = F.size(hashes) - window
-    least = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.least(*[F.get(hashes, i + j) for j in range(window)]))
-    return F.when(last >= 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+    """The smallest hash of every ``window`` consecutive ones, each value once."""
+    return F.array_distinct(sliding(hashes, window, F.least))
 
 
 def prints_of_kind(hashes: Column, kind: int) -> Column:

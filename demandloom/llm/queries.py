@@ -88,27 +88,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-SQL_OP7 = """
-WITH d AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-    FROM documents),
-b AS (
-    SELECT item_id, w, least(len(w), 10) AS m
-    FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark)
-    WHERE len(w) > 0),
-bw AS (SELECT DISTINCT item_id, m, list_slice(w, s, s + m - 1) AS span FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS s FROM b)),
-dw AS (SELECT doc_id, s, m, list_slice(w, s, s + m - 1) AS span
-       FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM b) WHERE len(w) >= m)),
-h AS (SELECT doc_id, s, m, item_id FROM dw JOIN bw USING (m, span)),
-p AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS at FROM h) GROUP BY doc_id),
-i AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n, 0) AS BIGINT) AS n_items,
-    sha256(coalesce(ids, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
-"""
-
-
-@query("op7_decontamination", SQL_OP7)
+@query("op7_decontamination")
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shared_passages(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(
