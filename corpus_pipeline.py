@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandloom.llm.stages import keep_known_languages, pack_kept
+from demandloom.llm.stages import drop_contaminated, keep_known_languages, keep_one_of_similar, pack_kept, redact_secrets
 from demandloom.sources.checkpoints import work_dir
 
 STAGES = [
     ("language", keep_known_languages),
+    ("similar", keep_one_of_similar),
+    ("decontaminate", drop_contaminated),
+    ("secrets", redact_secrets),
     ("pack", pack_kept),
 ]
 

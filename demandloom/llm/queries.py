@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .chat import format_conversations
 from .decontaminate import shared_passages
 from .language import identify_language
 from .packing import pack_sequences
 from .secret_scan import KINDS, scan_secrets
+from .similar import similar_groups
+from .url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +98,32 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("SKU").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op4_similar")
+def op4_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(documents(spark, sf_dir)).withColumnRenamed("SKU", "doc_id")
+
+
+# The rules of the url contract.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query("op8_urls")
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+SQL_OP10 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l FROM t GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, l, count(*) AS n_copies FROM c GROUP BY l)
+SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, n_copies,
+    array_to_string(list_transform(l, e -> '<|im_start|>' || coalesce(e.r, 'unknown') || chr(10) || coalesce(e.x, '') || '<|im_end|>' || chr(10)), '') AS rendered
+FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS b WHERE len(b.l) > len(u.l) AND b.l[1:len(u.l)] = u.l)
+"""
+
+
+@query("op10_chat", SQL_OP10)
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .decontaminate import shared_passages
 from .queries import as_items, identified, pack_items, piece_digests, table
 from .secret_scan import scan_secrets
+from .similar import similar_groups
 
 #: A document stays if its best language has at least this posterior probability.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -18,6 +19,14 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return good.drop("lang_pred", "score")
 
 
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of similar texts; repeated rows count as one document."""
+    me = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    groups = similar_groups(docs.select(me.alias("SKU"), F.col("text").alias("Product_Name")))
+    kept = groups.where(F.to_json("SKU") == F.to_json("component_id")).select(F.to_json("SKU").alias("_me")).distinct()
+    return docs.withColumn("_me", F.to_json(me)).join(kept, "_me", "left_semi").dropDuplicates(["_me"]).select(*docs.columns)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a benchmark passage."""
     me = F.struct("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
