@@ -119,7 +119,7 @@ WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l FROM t GROUP BY conv_id),
 u AS (SELECT min(conv_id) AS conv_id, l, count(*) AS n_copies FROM c GROUP BY l)
 SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, n_copies,
-    array_to_string(list_transform(l, e -> '<|im_start|>' || coalesce(e.r, 'unknown') || chr(10) || coalesce(e.x, '') || '<|im_end|>' || chr(10)), '') AS rendered
+    array_to_string(list_transform(l, lambda e: '<|im_start|>' || coalesce(e.r, 'unknown') || chr(10) || coalesce(e.x, '') || '<|im_end|>' || chr(10)), '') AS rendered
 FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS b WHERE len(b.l) > len(u.l) AND b.l[1:len(u.l)] = u.l)
 """
 
