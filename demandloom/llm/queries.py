@@ -13,7 +13,9 @@ from .language import identify_language
 from .packing import pack_sequences
 from .secret_scan import KINDS, scan_secrets
 from .similar import similar_groups
+from .toxicity import classify_toxicity
 from .url_filter import filter_urls
+from .vectors import similar_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +129,15 @@ FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS b WHERE len(b.l) > len(u.l) AND b.l[
 @query("op10_chat", SQL_OP10)
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_vectors")
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("SKU"), F.col("label").alias("Category"), F.col("embedding").alias("features"))
+    return similar_vectors(items).withColumnRenamed("SKU", "vec_id")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "SKU")
+    return classify_toxicity(documents(spark, sf_dir), labels).withColumnRenamed("SKU", "doc_id")
