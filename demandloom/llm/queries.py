@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .chat import format_conversations
 from .decontaminate import shared_passages
+from .language_model import score_texts
 from .language import identify_language
 from .packing import pack_sequences
 from .secret_scan import KINDS, scan_secrets
@@ -53,6 +54,11 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@query("op1_score")
+def op1_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), fold("SKU", 5) != 1).withColumnRenamed("SKU", "doc_id")
+
+
 @query("op2_secrets")
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir))

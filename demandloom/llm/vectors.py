@@ -45,7 +45,7 @@ def block_links(home: np.ndarray, other: np.ndarray, least: float) -> np.ndarray
 
 def similar_vectors(
     records: DataFrame, key: str = "SKU", label: str = "Category", vector: str = "features", least: float = 0.98, sample_rows: int = 20_000,
-    cell_rows: int = 256, most_cells: int = 2048,
+    cell_rows: int = 4096, most_cells: int = 2048,
 ) -> DataFrame:
     """Groups of items of one category with similar feature vectors: (key, ``n_links``, ``component_id``, ``kept``).
 
@@ -90,7 +90,7 @@ def similar_vectors(
     ])
 
     def place(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
