@@ -69,7 +69,7 @@ def rolling_columns(date: str = "week_start", position: str | None = None) -> di
 
 
 def ewma_columns(position: str, date: str = "week_start") -> dict[str, Column]:
-    return {name: smoothed("Units_Sold", alpha, position, by_item(date)) for name, alpha in SMOOTHING.items()}
+    return {name: smoothed("Units_Sold", alpha, position, date) for name, alpha in SMOOTHING.items()}
 
 
 def promo_columns(date: str = "week_start", position: str | None = None) -> dict[str, Column]:
@@ -95,21 +95,25 @@ def rolling_stats(df: DataFrame, date: str = "week_start") -> DataFrame:
     return df.withColumns(rolling_columns(date))
 
 
-def smoothed(value: str, alpha: float, position: str, window: W) -> Column:
-    """Recursive exponential smoothing seeded with the first value, as a running sum.
+#: Periods whose decayed weights share one running sum; two whole segments further back a weight is below any double's precision.
+SEGMENT = 256
 
-    The recursion unrolls to ``(1-a)^t * (x_0 + sum_k a * x_k * (1-a)^-k)``, all terms of one sign for
-    non-negative demand, so a single running window sum gives it in linear time. The power leaves the
-    double range after about ``700 / -ln(1-a)`` periods (1,900 weeks for a = 0.3); longer series raise.
+
+def smoothed(value: str, alpha: float, position: str, date: str = "week_start") -> Column:
+    """Recursive exponential smoothing seeded with the first value, for series of any length.
+
+    The recursion unrolls to a running sum of ``a * x_k * (1-a)^(t-k)``. The sum is taken within segments of 256 periods, so
+    powers stay far inside the double range, and the two segments before bring their decayed totals along.
     """
     decay = 1.0 - alpha
-    t = F.col(position).cast("double")
-    limit = int(700 / -math.log(decay))
-    weight = F.when(F.col(position) == 0, F.lit(1.0)).otherwise(F.lit(alpha) * F.pow(F.lit(decay), -t))
-    run = F.sum(F.col(value) * weight).over(window.rowsBetween(W.unboundedPreceding, 0))
-    return F.when(F.col(position) <= limit, F.pow(F.lit(decay), t) * run).otherwise(
-        F.raise_error(F.lit(f"series longer than {limit} periods")).cast("double")
-    )
+    segment = F.floor(F.col(position) / SEGMENT)
+    inside = (F.col(position) % SEGMENT).cast("double")
+    term = F.col(value) * F.when(F.col(position) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    run = F.sum(term * F.pow(F.lit(decay), -inside)).over(W.partitionBy("SKU", segment).orderBy(date).rowsBetween(W.unboundedPreceding, 0))
+    by_segment = W.partitionBy("SKU").orderBy(segment)
+    ended = F.sum(term * F.pow(F.lit(decay), SEGMENT - 1 - inside))
+    before = [F.coalesce(ended.over(by_segment.rangeBetween(-k, -k)), F.lit(0.0)) * decay ** (SEGMENT * (k - 1)) for k in (1, 2)]
+    return F.pow(F.lit(decay), inside) * run + F.pow(F.lit(decay), inside + 1) * (before[0] + before[1])
 
 
 def ewma(df: DataFrame, date: str = "week_start") -> DataFrame:

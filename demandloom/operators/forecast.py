@@ -77,7 +77,7 @@ def _model_column(model: str, h: int, window: W, season: int = SEASON) -> Column
     if model == "naive":
         return F.col("Units_Sold").cast("double")
     if model == "ses":
-        return smoothed("Units_Sold", SES_ALPHA, "_t", window)
+        return smoothed("Units_Sold", SES_ALPHA, "_t")
     if model.startswith("ma"):
         return moving_avg_partial("Units_Sold", int(model[2:]), window)
     raise ValueError(f"unknown model {model!r}")
@@ -98,10 +98,7 @@ def baseline_forecasts(
             columns[f"{m}_{h}"] = _model_column(m, h, w)
     columns |= {f"actual_{h}": F.lead("Units_Sold", h).over(w).cast("double") for h in range(1, horizon + 1)}
     at_week = weekly.withColumn("_t", F.row_number().over(w) - 1).withColumns(columns)
-    # At most FOLDS dates, so the broadcast is bounded.
-    at_origin = at_week.join(
-        F.broadcast(origins.withColumnRenamed("forecast_origin", "week_start")), "week_start", "left_semi"
-    )
+    at_origin = at_week.join(origins.withColumnRenamed("forecast_origin", "week_start"), "week_start", "left_semi")
 
     def step(h: int) -> Column:
         values = [
@@ -142,7 +139,7 @@ def union_forecasts(*parts: DataFrame) -> DataFrame:
 
 
 def semi_eval_origins(df: DataFrame, origins: DataFrame, column: str = "forecast_origin") -> DataFrame:
-    return df.join(F.broadcast(origins.select(F.col("forecast_origin").alias(column))), column, "left_semi")
+    return df.join(origins.select(F.col("forecast_origin").alias(column)), column, "left_semi")
 
 
 def hybrid_assemble(forecasts: DataFrame, architecture: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@
 order into ranges first: a uniform sample (smallest hashes, so it is deterministic) gives the range
 borders, each range is scanned by its own task, and one small row per range carries the totals forward.
 Rows must be unique on the ordering columns, so a value shared by very many rows is counted first and
-never fills a range on its own. The counted input is checkpointed, because it is read several times; when it
-turns out to have few rows, one range is enough.
+never fills a range on its own. The counted input is checkpointed, because it is read several times. The number of ranges
+follows from the number of counted rows.
 """
 
 from __future__ import annotations
@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.checkpoints import cut_lineage
 
-RANGES = 64
-MAX_RANGES = 1024
+LEAST_RANGES = 4
 ROWS_PER_RANGE = 1_000_000
 SAMPLES_PER_RANGE = 32
-ONE_RANGE_ROWS = 100_000
 
 _SCANS = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -29,7 +27,7 @@ def _order_key(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
-def assign_ranges(df: DataFrame, order: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def assign_ranges(df: DataFrame, order: Sequence[str], ranges: int = LEAST_RANGES) -> DataFrame:
     """Add ``_range``: an order-preserving bucket number in ``[0, ranges)``."""
     sample = (
         df.select(*order)
@@ -39,7 +37,7 @@ def assign_ranges(df: DataFrame, order: Sequence[str], ranges: int = RANGES) ->
     )
     step = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(ranges)).cast("int"))
     borders = sample.select(F.filter("s", lambda _, i: (i > 0) & (i % step == 0)).alias("b")).scalar()
-    steps = ", ".join(str(2**i) for i in reversed(range(MAX_RANGES.bit_length())))
+    steps = ", ".join(str(2**i) for i in reversed(range(ranges.bit_length())))
     # Binary search: the number of borders at or below the row's key.
     search = f"aggregate(array({steps}), 0, (p, s) -> IF(coalesce(get(_borders, p + s - 1) <= _key, false), p + s, p))"
     return (
@@ -53,8 +51,7 @@ def prefix_scan(
     df: DataFrame,
     order: Sequence[str],
     measures: Mapping[str, tuple[str, str]],
-    ranges: int = RANGES,
-    one_range_rows: int = ONE_RANGE_ROWS,
+    ranges: int = LEAST_RANGES,
     materialised: bool = False,
 ) -> DataFrame:
     """Inclusive running aggregates along a global ascending order.
@@ -63,17 +60,13 @@ def prefix_scan(
     """
     if not materialised:
         df = cut_lineage(df)
-    rows = df.count()
-    if rows <= one_range_rows:
-        whole = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({out: _SCANS[fn](col).over(whole) for out, (fn, col) in measures.items()})
-    ranged = assign_ranges(df, order, min(MAX_RANGES, max(ranges, rows // ROWS_PER_RANGE)))
+    ranged = assign_ranges(df, order, max(ranges, df.count() // ROWS_PER_RANGE))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     totals = ranged.groupBy("_range").agg(
         *[_SCANS[fn](col).alias(f"_t_{out}") for out, (fn, col) in measures.items()]
     )
-    # At most MAX_RANGES rows reach this window: one total per range.
+    # One total per range, a millionth of the counted rows, reaches this window.
     carried = totals.select(
         "_range",
         *[_SCANS[fn](f"_t_{out}").over(before).alias(f"_c_{out}") for out, (fn, _) in measures.items()],

@@ -51,7 +51,7 @@ def _(c):
 @query("sink_parquet", "SELECT * FROM t_sales")
 def _(c):
     by_year = c.sales.withColumn("y", F.year("Date"))
-    path = sinks.sink_parquet(by_year.repartition("y", F.pmod(F.xxhash64("SKU"), F.lit(8))), f"{work_dir(c.spark)}/sales", ["y"])
+    path = sinks.sink_parquet(by_year.hint("rebalance", "y"), f"{work_dir(c.spark)}/sales", ["y"])
     return tables.scan_parquet(c.spark, path, SALES.required)
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
+from ..functions import week_start
 from ..operators import decide, forecast, quality, risk, timegrid
 from ..sources import sinks
 from .context import Context
@@ -20,10 +21,15 @@ class ProductionRun:
 
 
 def forecast_origin(c: Context, requested: str | None = None) -> DataFrame:
-    """The requested weekly origin, or the latest rolling origin."""
+    """The requested weekly origin, or the latest rolling origin. A date that starts no week of the panel raises."""
     if requested is None:
         return c.last_origin
-    return c.days.select(F.to_date(F.lit(requested)).alias("forecast_origin"))
+    day = F.to_date(F.lit(requested))
+    span = timegrid.week_span(c.days).select("lo", "hi", day.alias("forecast_origin"))
+    on_grid = (day == week_start(day)) & day.between(F.col("lo"), F.col("hi"))
+    if not span.select(F.coalesce(on_grid, F.lit(False))).first()[0]:
+        raise ValueError(f"{requested} is not the start of a week of the panel")
+    return span.select("forecast_origin")
 
 
 def production_run(c: Context, root: str, requested: str | None = None) -> ProductionRun:

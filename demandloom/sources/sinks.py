@@ -47,7 +47,7 @@ def sink_analysis_ready(
     by_month = panel.withColumn("month_start", F.date_trunc("month", "Date").cast("date"))
     return {
         "analysis_ready": sink_parquet(
-            by_month.repartition("month_start", F.pmod(F.xxhash64("SKU"), F.lit(8))),
+            by_month.hint("rebalance", "month_start"),
             f"{root}/analysis_ready", ["month_start"],
         ),
         "inventory_quarantine": sink_parquet(quarantine, f"{root}/inventory_quarantine"),

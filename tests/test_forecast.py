@@ -89,7 +89,25 @@ def test_window_features_equal_pandas(spark, weekly):
         np.testing.assert_allclose(g["promo_days_last_4w"], g["promo_days"].rolling(4).sum().fillna(0))
 
 
-def test_smoothing_refuses_series_beyond_the_double_range(spark):
-    long = spark.range(2100).selectExpr("'A' AS SKU", "date_add(DATE'1990-01-02', CAST(id * 7 AS INT)) AS week_start", "1L AS Units_Sold")
-    with pytest.raises(Exception, match="series longer"):
-        features.ewma(long).collect()
+
+def test_smoothing_of_a_long_series_of_large_demand_equals_a_fold(spark):
+    rng = np.random.default_rng(8)
+    units = [int(x) for x in rng.integers(0, 10_000_000, 3000)]
+    units[1000:1400] = [0] * 400
+    rows = [(s, FIRST + dt.timedelta(7 * w), u) for s in ("A", "B") for w, u in enumerate(units)]
+    got = features.ewma(spark.createDataFrame(rows, "SKU string, week_start date, Units_Sold bigint")).orderBy("SKU", "week_start").collect()
+    for name, alpha in features.SMOOTHING.items():
+        level, want = float(units[0]), []
+        for u in units:
+            level = alpha * u + (1 - alpha) * level if want else level
+            want.append(level)
+        assert [r[name] for r in got[:3000]] == pytest.approx(want, rel=1e-9, abs=1e-6)
+        assert [r[name] for r in got[3000:]] == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+def test_a_production_run_off_the_weekly_grid_raises(spark, tmp_path):
+    from demandloom.plans.context import Context
+    from demandloom.plans.pipeline import production_run
+
+    with pytest.raises(ValueError, match="not the start of a week"):
+        production_run(Context(spark, "/root/testdata/sf0.001"), str(tmp_path), "2001-07-20")

@@ -1,4 +1,4 @@
-"""Global scans against brute force, with the range path forced."""
+"""Global scans against brute force, with more ranges than such few rows would get."""
 
 import numpy as np
 import pytest
@@ -8,8 +8,7 @@ from demandloom.operators import ordered
 
 @pytest.fixture(autouse=True)
 def many_ranges(monkeypatch):
-    monkeypatch.setattr(ordered, "ONE_RANGE_ROWS", 0)
-    monkeypatch.setattr(ordered.prefix_scan, "__defaults__", (16, 0, False))
+    monkeypatch.setattr(ordered.prefix_scan, "__defaults__", (16, False))
 
 
 def frame(spark, rows, schema):
