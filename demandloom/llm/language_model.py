@@ -303,7 +303,7 @@ def score_texts(
             ids = [f"{part}-{number + i}" for i in range(n)]
             number += n
             columns = [pa.array(ids), pa.concat_arrays([x[0].column("key") for x in held]), pa.concat_arrays([x[0].column("train") for x in held]), pa.array(lengths),
-                       pa.array(n_known), pa.array(base), pa.array(model), pa.array(lengths - n_known), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+                       pa.array(n_known), pa.array(base.astype(float)), pa.array(model.astype(float)), pa.array(lengths - n_known), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
             order = np.lexsort((hashes[~known], text_of[~known]))
             rest, owner = hashes[~known][order], text_of[~known][order]
