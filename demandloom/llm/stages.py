@@ -9,14 +9,10 @@ from .queries import as_items, identified, pack_items, piece_digests, table
 from .secret_scan import scan_secrets
 from .similar import similar_groups
 
-#: A document stays if its best language has at least this posterior probability.
-LEAST_LANGUAGE_SCORE = 0.5
-
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language cannot be told: no letters, or no language clearly ahead of the others."""
-    good = identified(docs, docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return good.drop("lang_pred", "score")
+    """Drop documents whose language cannot be told: without text or without a letter."""
+    return identified(docs, docs.columns).where(F.col("lang_pred") != "und").drop("lang_pred", "score")
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
