@@ -120,14 +120,13 @@ def backtest_models(
 
 
 def direct_multi_horizon(
-    train: DataFrame, family: str, horizons: Sequence[int] = tuple(range(1, HORIZON + 1)), **params
+    train: DataFrame, family: str, cutoff, horizons: Sequence[int] = tuple(range(1, HORIZON + 1)), **params
 ) -> dict[int, PipelineModel]:
-    """One independent model per horizon."""
+    """One independent model per horizon, from rows whose target was known at ``cutoff``, the origin to be served."""
     predictors = feature_names(train)
-    usable = train.filter(F.col("lag_52").isNotNull())
 
     def fit(h: int) -> PipelineModel:
-        return fit_model(usable.filter(F.col(f"target_h{h}").isNotNull()), family, h, predictors, **params)
+        return fit_model(training_rows(train, cutoff, h), family, h, predictors, **params)
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         return dict(zip(horizons, pool.map(fit, horizons)))
@@ -164,14 +163,11 @@ def tune_grid(
     return features.sparkSession.createDataFrame(rows, schema)
 
 
-def retrain_best(features: DataFrame, trials: DataFrame, family: str, horizons: Sequence[int]) -> dict[int, PipelineModel]:
-    """Refit each horizon on all valid rows with its best configuration (one row per horizon is read)."""
+def retrain_best(features: DataFrame, trials: DataFrame, family: str, cutoff, horizons: Sequence[int]) -> dict[int, PipelineModel]:
+    """Refit each horizon with its best configuration (one row per horizon is read) on all rows known at ``cutoff``."""
     best = {r["horizon"]: json.loads(r["config"]) for r in argmin_config(trials).filter(F.col("model") == family).collect()}
     predictors = feature_names(features)
-    usable = features.filter(F.col("lag_52").isNotNull())
-    return {
-        h: fit_model(usable.filter(F.col(f"target_h{h}").isNotNull()), family, h, predictors, **best[h]) for h in horizons
-    }
+    return {h: fit_model(training_rows(features, cutoff, h), family, h, predictors, **best[h]) for h in horizons}
 
 
 def hybrid_predict(

@@ -76,7 +76,7 @@ def normalize_forecast_layout(df: DataFrame, horizon: int = HORIZON) -> DataFram
     """Long or wide forecasts, under any known column names, as one vector per (origin_date, SKU).
 
     Short vectors are padded with their last value; negative values become 0. A missing value inside the
-    vector is kept as NULL and makes that item's projections NULL.
+    vector is kept as NULL and makes that item's projections NULL. Two forecasts of an item for one horizon raise.
     """
     cols = df.columns
     sku, origin = _pick(cols, SKU_ALIASES), _pick(cols, ORIGIN_ALIASES)
@@ -95,7 +95,11 @@ def normalize_forecast_layout(df: DataFrame, horizon: int = HORIZON) -> DataFram
                 F.collect_list(F.struct(F.col(step).alias("h"), F.col(value).cast("double").alias("y")))
             ).alias("_s")
         )
-        raw = F.transform(F.slice("_s", 1, horizon), lambda s: nonneg(s["y"]))
+        steps = F.transform("_s", lambda s: s["h"])
+        once = F.when(
+            F.size(F.array_distinct(steps)) < F.size(steps), F.raise_error(F.lit("an item has two forecasts for one horizon: choose one model first"))
+        ).otherwise(F.col("_s"))
+        raw = F.transform(F.slice(once, 1, horizon), lambda s: nonneg(s["y"]))
         padded = F.concat(raw, F.array_repeat(F.element_at(raw, -1), horizon - F.size(raw)))
         return vectors.select("origin_date", "SKU", padded.alias("forecast"))
     wide = [next((t.format(h) for t in WIDE_ALIASES if t.format(h) in cols), None) for h in range(1, horizon + 1)]

@@ -290,8 +290,9 @@ def _(c):
 @query("direct_multi_horizon")
 def _(c):
     table = _saved_features(c)
-    models = ml.direct_multi_horizon(table, "linear")
-    at = table.filter(F.col("forecast_origin_date") == F.lit(_last_origins(c, 1)[0]))
+    origin = _last_origins(c, 1)[0]
+    models = ml.direct_multi_horizon(table, "linear", origin)
+    at = table.filter(F.col("forecast_origin_date") == F.lit(origin))
     return ml.predict_multi(models, at, "linear")
 
 
@@ -304,29 +305,33 @@ def _(c):
 @query("retrain_best")
 def _(c):
     table = _saved_features(c)
-    trials = ml.tune_grid(table, _last_origins(c, 1), {"linear": [{"regParam": 0.0}, {"regParam": 0.3}]}, [1, 2])
-    models = ml.retrain_best(table, trials, "linear", [1, 2])
-    at = table.filter(F.col("forecast_origin_date") == F.lit(_last_origins(c, 1)[0]))
+    origin = _last_origins(c, 1)[0]
+    horizons = list(range(1, feat.HORIZON + 1))
+    trials = ml.tune_grid(table, [origin], {"linear": [{"regParam": 0.0}, {"regParam": 0.3}]}, horizons)
+    models = ml.retrain_best(table, trials, "linear", origin, horizons)
+    at = table.filter(F.col("forecast_origin_date") == F.lit(origin))
     return ml.predict_multi(models, at, "linear")
 
 
 @query("hybrid_predict")
 def _(c):
     table = _saved_features(c)
-    models = {"linear": ml.direct_multi_horizon(table, "linear", [1, 2])}
+    origin = _last_origins(c, 1)[0]
+    models = {"linear": ml.direct_multi_horizon(table, "linear", origin, [1, 2])}
     choice = {1: "linear", 2: "linear", **{h: "seasonal_naive" for h in range(3, 9)}}
-    at = table.filter(F.col("forecast_origin_date") == F.lit(_last_origins(c, 1)[0]))
+    at = table.filter(F.col("forecast_origin_date") == F.lit(origin))
     return ml.hybrid_predict(at, c.last_seasonal, models, choice)
 
 
-@query("dq_serialization_parity", "SELECT CAST((SELECT count(*) FROM t_nmaster) * 2 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS max_abs_diff", "max_abs_diff")
+@query("dq_serialization_parity", "SELECT CAST((SELECT count(*) FROM t_nmaster) * 8 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS max_abs_diff", "max_abs_diff")
 def _(c):
     table = _saved_features(c)
-    models = ml.direct_multi_horizon(table, "linear", [1, 2])
+    origin = _last_origins(c, 1)[0]
+    models = ml.direct_multi_horizon(table, "linear", origin)
     root = f"{work_dir(c.spark)}/models"
     ml.save_models(models, root)
-    at = table.filter(F.col("forecast_origin_date") == F.lit(_last_origins(c, 1)[0]))
-    return ml.serialization_parity(ml.predict_multi(models, at, "linear"), ml.predict_multi(ml.load_models(root, [1, 2]), at, "linear"))
+    at = table.filter(F.col("forecast_origin_date") == F.lit(origin))
+    return ml.serialization_parity(ml.predict_multi(models, at, "linear"), ml.predict_multi(ml.load_models(root, list(models)), at, "linear"))
 
 
 @query("feature_transformer", "SELECT SKU, week_start, CASE WHEN Units_Sold IS NULL THEN -1 ELSE CAST(Units_Sold AS DOUBLE) END AS x_lag_1, coalesce(CAST(lag_52 AS DOUBLE), -1) AS x_lag_52 FROM (SELECT *, lag(Units_Sold, 51) OVER (PARTITION BY SKU ORDER BY week_start) AS lag_52 FROM t_weekly)")

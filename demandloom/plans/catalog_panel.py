@@ -258,21 +258,39 @@ def _(c):
     return profile.iso_week_total(c.sales)
 
 
-_NUM = ("lag_1", "rolling_mean_8", "rolling_std_4", "promo_days_last_8w", "log_price", "latest_known_stock")
+# All columns of the feature table, by kind.
+_DOUBLES = (
+    "Cost_Price Gross_Margin_Per_Unit Lead_Time_Days Reorder_Point Safety_Stock Selling_Price cos_week_annual demand_acceleration ewma_decay_01"
+    " ewma_decay_03 latest_known_on_order latest_known_stock log_price margin_rate price_vs_category_median_ratio promo_intensity_last_13w"
+    " rolling_mean_13 rolling_mean_4 rolling_mean_8 rolling_std_4 rolling_std_8 sin_week_annual stock_to_trailing_demand_ratio trend_ratio_4_13"
+    " trend_ratio_4_8"
+).split()
+_WHOLE = (
+    "target_h1 target_h2 target_h3 target_h4 target_h5 target_h6 target_h7 target_h8 days_since_inventory_snapshot days_since_launch"
+    " has_inventory_snapshot_at_origin is_inventory_stale lag_1 lag_12 lag_13 lag_2 lag_26 lag_3 lag_4 lag_52 lag_8 origin_month origin_quarter"
+    " origin_week_of_year promo_active_last_week promo_days_last_4w promo_days_last_8w rolling_max_4 rolling_min_4"
+).split()
+_OTHERS = "SKU forecast_origin_date Category Price_Tier Subcategory negative_margin_flag".split()
+# Distinct values are counted at six digits, off the borders that decimal weights end on.
+_OFF = 3.7e-8
+
+
+def _distinct_sql(x: str) -> str:
+    return f"round({x} + {_OFF!r}, 6)" if x in _DOUBLES else x
 
 
 @query(
     "feature_statistics",
     " UNION ALL ".join(
         f"SELECT '{x}' AS feature, count(*) FILTER ({x} IS NULL) / count(*) * 100 AS null_pct, CAST(min({x}) AS DOUBLE) AS \"min\", CAST(max({x}) AS DOUBLE) AS \"max\", "
-        f"avg({x}) AS mean, stddev_samp({x}) AS std, count(DISTINCT round({x}, 6)) AS distinct_values FROM t_features"
-        for x in _NUM
+        f"avg({x}) AS mean, stddev_samp({x}) AS std, count(DISTINCT {_distinct_sql(x)}) AS distinct_values FROM t_features"
+        for x in (*_DOUBLES, *_WHOLE)
     ),
     "null_pct min max mean std",
 )
 def _(c):
-    rows = c.features.select(*_NUM)
-    rounded = rows.withColumns({x: F.round(x, 6) for x in ("rolling_mean_8", "rolling_std_4", "log_price")})
+    rows = c.stored(c.features.select(*_DOUBLES, *_WHOLE))
+    rounded = rows.withColumns({x: F.round(F.col(x) + _OFF, 6) for x in _DOUBLES})
     return profile.feature_statistics(rows).join(profile.distinct_counts(rounded), "feature")
 
 
@@ -315,11 +333,11 @@ def _(c):
 
 @query(
     "null_percentage",
-    " UNION ALL ".join(f"SELECT '{x}' AS feature, count(*) FILTER ({x} IS NULL) / count(*) * 100 AS null_pct FROM t_features" for x in (*_NUM, "lag_52", "target_h8")),
+    " UNION ALL ".join(f"SELECT '{x}' AS feature, count(*) FILTER ({x} IS NULL) / count(*) * 100 AS null_pct FROM t_features" for x in (*_DOUBLES, *_WHOLE, *_OTHERS)),
     "null_pct",
 )
 def _(c):
-    return profile.null_percentage(c.features.select(*_NUM, "lag_52", "target_h8"))
+    return profile.null_percentage(c.features)
 
 
 # --- windows and features ----------------------------------------------------------------------------

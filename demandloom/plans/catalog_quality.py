@@ -373,11 +373,21 @@ def _(c):
     return quality.topk_violations(rows, F.col("Cost_Price") - F.col("Selling_Price"), ["SKU"])
 
 
+# Name and type of every column of the daily panel.
+_PANEL = {
+    "date": "Date Launch_Date", "bigint": "Units_Sold Promotion year month week is_weekend is_holiday",
+    "double": "Revenue Price Cost_Price Selling_Price Gross_Margin_Per_Unit Current_Stock On_Order Lead_Time_Days Safety_Stock Reorder_Point Inventory_Value",
+    "string": "SKU Product_Name Category Subcategory quarter day_of_week season holiday promotion_event",
+    "boolean": "negative_margin_flag has_inventory_snapshot",
+}
+
+
 @query(
     "data_dictionary_counts",
-    """SELECT 'Current_Stock' AS column_name, 'double' AS data_type, count(*) FILTER (Current_Stock IS NULL) AS missing FROM t_panel
-    UNION ALL SELECT 'holiday', 'string', count(*) FILTER (holiday IS NULL) FROM t_panel UNION ALL SELECT 'SKU', 'string', 0
-    UNION ALL SELECT 'Date', 'date', 0 UNION ALL SELECT 'Units_Sold', 'bigint', count(*) FILTER (Units_Sold IS NULL) FROM t_panel""",
+    " UNION ALL ".join(
+        f"SELECT '{x}' AS column_name, '{kind}' AS data_type, count(*) FILTER ({x} IS NULL) AS missing FROM t_panel"
+        for kind, names in _PANEL.items() for x in names.split()
+    ),
 )
 def _(c):
-    return profile.data_dictionary_counts(c.panel.select("Current_Stock", "holiday", "SKU", "Date", "Units_Sold"))
+    return profile.data_dictionary_counts(c.panel)

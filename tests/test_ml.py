@@ -35,7 +35,7 @@ def test_backtest_covers_items_and_stays_non_negative(table, family):
 
 
 def test_models_survive_saving(table, tmp_path):
-    models = ml.direct_multi_horizon(table, "linear", [1])
+    models = ml.direct_multi_horizon(table, "linear", FIRST + dt.timedelta(7 * 85), [1])
     ml.save_models(models, str(tmp_path))
     at = table.filter(F.col("forecast_origin_date") == F.lit(FIRST + dt.timedelta(7 * 85)))
     gap = ml.serialization_parity(ml.predict_multi(models, at, "linear"), ml.predict_multi(ml.load_models(str(tmp_path), [1]), at, "linear")).first()
@@ -47,3 +47,10 @@ def test_tuning_prefers_the_better_configuration(table):
 
     trials = ml.tune_grid(table, [FIRST + dt.timedelta(7 * 85)], {"linear": [{"regParam": 500.0}, {"regParam": 0.0}]}, [1])
     assert argmin_config(trials).first()["trial_id"] == 1
+
+
+def test_training_rows_end_before_the_served_origin(table):
+    origin = FIRST + dt.timedelta(7 * 85)
+    for h in (1, 8):
+        last = ml.training_rows(table, origin, h).agg(F.max("forecast_origin_date")).first()[0]
+        assert last + dt.timedelta(7 * h) <= origin

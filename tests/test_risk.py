@@ -137,3 +137,11 @@ def test_one_decimal_text_equals_python(spark):
     values = [i / 20 for i in range(0, 400)] + [0.25, 1.05, 1.15, 2.675, 1e6 + 0.05, 123456.75, 0.049999999999999996, 3.0000000000000004]
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     assert [r[0] for r in df.selectExpr(risk.one_decimal("x")).collect()] == [f"{v:.1f}" for v in values]
+
+
+def test_two_forecasts_for_one_horizon_raise(spark):
+    rows = [(ORIGIN, "A", h, m, 5.0) for h in (1, 2) for m in ("naive", "ses")]
+    fc = spark.createDataFrame(rows, "origin_date date, SKU string, horizon int, model string, prediction double")
+    with pytest.raises(Exception, match="two forecasts"):
+        risk.normalize_forecast_layout(fc).collect()
+    assert len(risk.normalize_forecast_layout(fc.where("model = 'ses'")).collect()) == 1
