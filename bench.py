@@ -18,6 +18,7 @@ HEADLINE = (
     "integrate_daily_panel", "dq_suite", "dq_panel_invariants", "weekly_panel", "panel_fill", "sku_demand_profile", "temporal_patterns",
     "demand_distribution", "asof_snapshot_to_week", "feature_table", "baseline_forecasts", "evaluate_forecasts", "select_architecture",
     "risk_scores", "recommendations", "production_run", "overstock_threshold_sweep", "model_linear",
+    "valuation_hypotheses", "inventory_field_audit",
 )
 
 

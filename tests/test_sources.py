@@ -53,3 +53,11 @@ def test_parquet_round_trip_with_partitions(spark, tmp_path):
     df = spark.createDataFrame([(dt.date(2024, 1, 1), "SKU001", 1, 1.0, 1.0, 0)], SALES.schema)
     path = sinks.sink_parquet(df, str(tmp_path / "p"), ["SKU"])
     assert tables.scan_parquet(spark, path, ["Units_Sold"]).first()[0] == 1
+
+
+def test_fingerprints_of_tables_in_folders_keep_part_files_apart(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0.txt").write_text(name)
+    got = {r["file"]: r["bytes"] for r in fingerprints.file_fingerprint(spark, str(tmp_path), "*.txt").collect()}
+    assert got == {"one/part-0.txt": 3, "two/part-0.txt": 3}
