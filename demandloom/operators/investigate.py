@@ -76,6 +76,7 @@ def negative_margin_profile(master: DataFrame, sales: DataFrame, tolerance: floa
     pct = ratio(gap, F.col("Cost_Price")) * 100
     flagged = master.filter(F.col("Cost_Price") > F.col("Selling_Price"))
     agrees = F.coalesce(F.abs(F.col("Selling_Price") - F.col("sales_price_avg")) <= tolerance, F.lit(False))
+    # The three class labels.
     return flagged.join(_sales_by_item(sales), "SKU", "left").select(
         "SKU", "Category", "Subcategory", "Cost_Price", "Selling_Price", "Gross_Margin_Per_Unit",
         F.round(gap, 2).alias("abs_diff"), pct.alias("pct_diff"), "total_units", "total_revenue",

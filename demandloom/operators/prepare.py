@@ -208,6 +208,7 @@ def join_category_median(master: DataFrame, value: str = "Selling_Price") -> Dat
 
 
 def price_tier_fixed(price: Column) -> Column:
+    # The published limits and tier names.
     return F.when(price < 4000.0, "Budget").when(price < 8000.0, "Mid-Range").otherwise("Premium")
 
 

@@ -236,6 +236,7 @@ def demand_outliers(panel: DataFrame) -> DataFrame:
     marks = quantiles(counts, "v", {"q25": 0.25, "q75": 0.75}, weight="n", counted=True).select(F.struct("q25", "q75").alias("q")).scalar()
     m = counted_moments("v")
     spread = counts.agg((m["mean"] + SIGMA_FACTOR * m["std"]).alias("z")).scalar()
+    # The labels of the published outlier report.
     reasons = F.concat_ws(
         "; ",
         F.when(F.col("Promotion") == 1, "Active_Promotion"),

@@ -27,6 +27,7 @@ RISK_TEXT = {
     "UNKNOWN": "UNKNOWN: No inventory snapshot available at or before {origin}.",
 }
 
+# The column names under which published forecasts come.
 ORIGIN_ALIASES = ("forecast_origin_date", "origin_date", "forecast_origin", "origin")
 SKU_ALIASES = ("SKU", "sku")
 HORIZON_ALIASES = ("horizon", "horizon_step", "h")

@@ -213,6 +213,7 @@ def _n1(x: str) -> str:
     return f"printf('%.1f', {x})"
 
 
+# The texts, codes and thresholds below repeat the published outputs, as the operators must match them.
 TABLES["t_risk"] = f"""
 SELECT origin_date, SKU, snap IS NOT NULL AS inventory_data_available, snap AS snapshot_date, CAST(origin_date - snap AS INTEGER) AS days_since_snapshot,
   stock AS Current_Stock, oo AS On_Order, lt AS Lead_Time_Days, ss AS Safety_Stock, rp AS Reorder_Point, avgd AS avg_weekly_demand,
