@@ -18,7 +18,6 @@ HEAD = CLASSES * MEMBERS
 KNOWN_WORDS = 65_536
 LANES, WINDOW, BACK = 256, 64, 16
 GROUP_TOKENS = 2_500_000
-TRAINING_TOKENS = 1024
 NAMES = ("x", "uzr", "un", "wc", "bc", "ww", "bw")
 
 
@@ -195,8 +194,7 @@ def place(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def score_texts(
-    records: DataFrame, training: Column, key: str = "SKU", text: str = "Product_Name", rounds: int = 2, training_share: float = 1 / 32,
-    least_texts: int = 2_000,
+    records: DataFrame, training: Column, key: str = "SKU", text: str = "Product_Name", rounds: int = 1,
 ) -> DataFrame:
     """Log10 probability of every whole item text: (key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``).
 
@@ -206,11 +204,9 @@ def score_texts(
     and the tail, and a word's probability into that of its class and its share in it. A tail word has the tail's probability
     times (c + 0.5) over the tail's sum of these (unseen words together count 0.5), so both scores spread over the same events.
 
-    Words count as equal if 64-bit hashes agree. In each of ``rounds`` rounds every partition trains on its own texts (a
-    share of ``training_share`` of the training rows by a hash of the text, more if that were under ``least_texts``) with truncated
-    back-propagation (long texts in parts of 1,024 tokens), and the parameters are averaged by tokens; so the training grows with the table. Scoring carries the state
-    across windows to the end of a text, however long. Counts of the 65,536 commonest words go with the tasks; those
-    of other words are joined.
+    Words count as equal if 64-bit hashes agree. In each of ``rounds`` rounds every partition trains on all its training texts with
+    truncated back-propagation, and the parameters are averaged by tokens. Training and scoring carry the state across windows to
+    the end of a text, however long. Counts of the 65,536 commonest words go with the tasks; those of other words are joined.
 
     A null text counts as empty: one end token. A null ``training`` counts as true. Repeated rows and null keys are scored
     like any other. Without training rows all counts are 0. An empty table gives no rows; other columns are dropped.
@@ -249,21 +245,14 @@ def score_texts(
     p = first_parameters(np.maximum(head_n, 0.5), tail_mass)
     sizes = {k: int(np.prod(s)) for k, s in shapes().items()}
     some = teach.where("text IS NOT NULL")
-    n_texts = some.count()
-    share = int(min(1.0, max(training_share, least_texts / max(n_texts, 1))) * (1 << 20))
-    some = some.where(F.pmod(F.xxhash64(F.lit("teach"), "text"), F.lit(1 << 20)) < share)
-    for _ in range(rounds if n_texts else 0):
+    for _ in range(rounds if n_all else 0):
         now = spark.sparkContext.broadcast(p)
 
         def trained(batches, now=now):
             current, seen = now.value, 0
             for batch in slices(batches, "text"):
                 hashes, lengths = document_tokens(batch.column("text"))
-                # Long texts are learned in parts, so that all lanes stay busy.
-                parts = -(-lengths // TRAINING_TOKENS)
-                cut = np.full(parts.sum(), TRAINING_TOKENS, np.int64)
-                cut[np.cumsum(parts) - 1] = lengths - (parts - 1) * TRAINING_TOKENS
-                current = train(current, words_of(hashes), cut, sent.value["end"])
+                current = train(current, words_of(hashes), lengths, sent.value["end"])
                 seen += len(hashes)
             if seen:
                 flat = np.concatenate([current[k].ravel() for k in NAMES]).astype(np.float64)

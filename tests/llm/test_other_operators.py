@@ -182,6 +182,20 @@ def test_scores_of_items(spark):
     assert lm.score_texts(items.limit(0), F.lit(True)).collect() == []
 
 
+def test_language_model_learns_every_training_text(spark):
+    """A text with many copies is learned whatever its hash is; earlier a hash sample of a quarter of these texts was."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    tries = spark.createDataFrame([(" ".join(rng.sample(words, 12)),) for _ in range(40)], "t string")
+    outside = tries.where(F.pmod(F.xxhash64(F.lit("teach"), "t"), F.lit(1 << 20)) > 0.3 * (1 << 20)).first()[0]
+    texts = [" ".join(rng.choices(words, k=12)) for _ in range(4000)] + [outside] * 4000
+    rng.shuffle(texts)
+    items = spark.createDataFrame(list(enumerate(texts)), "SKU long, Product_Name string").repartition(2)
+    got = lm.score_texts(items, F.lit(True)).where(F.col("n_tokens") == 13).toPandas()
+    copies = got[[texts[k] == outside for k in got.SKU]]
+    assert len(copies) == 4000 and (copies.score > copies.base_score + 3).all()
+
+
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
