@@ -13,26 +13,35 @@ from .arrays import BLANK, slices, text_arrays, word_hashes
 from .components import stored
 
 END = np.uint64(0)
-STATE, CLASSES, MEMBERS = 24, 32, 32
-HEAD = CLASSES * MEMBERS
-KNOWN_WORDS = 65_536
-LANES, WINDOW, BACK = 256, 64, 16
+STATE = 24
+KNOWN_WORDS = HEAD = 65_536
+LANES, WINDOW, BACK, ROWS = 256, 64, 16, 512
 GROUP_TOKENS = 2_500_000
-NAMES = ("x", "uzr", "un", "wc", "bc", "ww", "bw")
+SHARED = ("uzr", "un", "wc", "bc")
 
 
-def shapes() -> dict[str, tuple[int, ...]]:
-    return {"x": (HEAD + 1, 3 * STATE), "uzr": (STATE, 2 * STATE), "un": (STATE, STATE), "wc": (CLASSES + 1, STATE), "bc": (CLASSES + 1,),
-            "ww": (CLASSES, MEMBERS, STATE), "bw": (CLASSES, MEMBERS)}
+def factored(words: int) -> tuple[int, int]:
+    """Number of classes and of members that hold so many words: both about its square root."""
+    classes = int(np.ceil(np.sqrt(words)))
+    return classes, -(-words // classes)
+
+
+def shapes(classes: int, members: int) -> dict[str, tuple[int, ...]]:
+    return {"x": (classes * members + 1, 3 * STATE), "uzr": (STATE, 2 * STATE), "un": (STATE, STATE), "wc": (classes + 1, STATE), "bc": (classes + 1,),
+            "ww": (classes, members, STATE), "bw": (classes, members)}
 
 
 def first_parameters(counts: np.ndarray, tail: float) -> dict[str, np.ndarray]:
-    """Small random weights; biases that make an empty state predict the unigram shares of head words and of the tail."""
+    """Small random weights; biases that make an empty state predict the unigram shares of head words and of the tail.
+
+    ``counts`` of the head words fall, so each class holds words of like frequency.
+    """
     rng = np.random.default_rng(7)
-    p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes().items()}
-    full = np.zeros(HEAD)
+    classes, members = factored(len(counts))
+    p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(classes, members).items()}
+    full = np.zeros(classes * members)
     full[: len(counts)] = counts
-    by_class = full.reshape(CLASSES, MEMBERS)
+    by_class = full.reshape(classes, members)
     p["bw"] = np.where(by_class > 0, np.log(np.maximum(by_class, 1)), -1e9).astype(np.float32)
     p["bc"] = np.log(np.maximum(np.append(by_class.sum(1), tail), 1e-9)).astype(np.float32)
     p["ww"] *= 0.1
@@ -44,9 +53,17 @@ def sigmoid(a: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-a))
 
 
-def log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(1, keepdims=True)
-    return a - np.log(np.exp(a).sum(1, keepdims=True))
+def picked(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log softmax of each row of ``a`` at one place, and the gradient of its negative; ``a`` is used up."""
+    rows = np.arange(len(a))
+    a -= a.max(1, keepdims=True)
+    got = a[rows, at]
+    np.exp(a, out=a)
+    total = a.sum(1)
+    got -= np.log(total)
+    a /= total[:, None]
+    a[rows, at] -= 1
+    return got, a
 
 
 def step(p: dict, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -59,30 +76,32 @@ def step(p: dict, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def output(p: dict, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each target (head word, or the tail as a whole) given its state; fills ``grads`` if asked to."""
-    kind = np.minimum(target // MEMBERS, CLASSES)
-    logs = log_softmax(states @ p["wc"].T + p["bc"])
-    rows = np.arange(len(target))
-    got, back = logs[rows, kind], None
+    classes, members = p["bw"].shape
+    kind = target // members
+    got, back = np.empty(len(target), states.dtype), None
     if grads is not None:
-        d = np.exp(logs)
-        d[rows, kind] -= 1
-        grads["wc"], grads["bc"] = d.T @ states, d.sum(0)
-        back = d @ p["wc"]
-        grads["ww"], grads["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-    order = np.argsort(kind, kind="stable")
-    cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[cut[c] : cut[c + 1]]
-        if not len(at):
-            continue
-        s, word = states[at], target[at] - c * MEMBERS
-        inner = log_softmax(s @ p["ww"][c].T + p["bw"][c])
-        got[at] += inner[np.arange(len(at)), word]
+        grads |= {x: np.zeros_like(p[x]) for x in ("wc", "bc", "ww", "bw")}
+        back = np.empty_like(states)
+    for a in range(0, len(target), ROWS):  # blocks that stay in the cache
+        part = slice(a, a + ROWS)
+        s = states[part]
+        got[part], d = picked(s @ p["wc"].T + p["bc"], kind[part])
         if grads is not None:
-            d = np.exp(inner)
-            d[np.arange(len(at)), word] -= 1
-            grads["ww"][c], grads["bw"][c] = d.T @ s, d.sum(0)
-            back[at] += d @ p["ww"][c]
+            grads["wc"] += d.T @ s
+            grads["bc"] += d.sum(0)
+            back[part] = d @ p["wc"]
+    order = np.argsort(kind, kind="stable")
+    cut = np.searchsorted(kind[order], np.arange(classes + 1))
+    for c in np.flatnonzero(np.diff(cut)).tolist():
+        for a in range(cut[c], cut[c + 1], ROWS):
+            at = order[a : min(a + ROWS, cut[c + 1])]
+            s, word = states[at], target[at] - c * members
+            inner, d = picked(s @ p["ww"][c].T + p["bw"][c], word)
+            got[at] += inner
+            if grads is not None:
+                grads["ww"][c] += d.T @ s
+                grads["bw"][c] += d.sum(0)
+                back[at] += d @ p["ww"][c]
     return got, back
 
 
@@ -131,11 +150,17 @@ def text_scores(p: dict, tokens: np.ndarray, lengths: np.ndarray, end_word: int)
     return total
 
 
-def train(p: dict, tokens: np.ndarray, lengths: np.ndarray, end_word: int, rate: float = 0.01) -> dict:
-    """Parameters after one pass: back-propagation through windows of 16 steps, the state carried from window to window."""
+def train(p: dict, tokens: np.ndarray, lengths: np.ndarray, end_word: int, rate: float = 0.01, rare_rate: float = 0.1) -> dict:
+    """Parameters after one pass: back-propagation through windows of 16 steps, the state carried from window to window.
+
+    Input rows move only when their word is read. Members of a class move by the sum of their gradients over the root of one
+    plus their mean squares so far, so a word that a task does not meet keeps its share and is not pushed down step by step.
+    """
     p = {k: v.copy() for k, v in p.items()}
-    m, v, k = {x: np.zeros_like(y) for x, y in p.items()}, {x: np.zeros_like(y) for x, y in p.items()}, 0
-    source, target, _, start = laid_out(tokens, lengths, end_word, 64)
+    m, v, k = {x: np.zeros_like(p[x]) for x in (*SHARED, "x")}, {x: np.zeros_like(p[x]) for x in (*SHARED, "x")}, 0
+    squares = np.ones_like(p["bw"])
+    members = p["bw"].shape[1]
+    source, target, _, start = laid_out(tokens, lengths, end_word, LANES)
     h = np.zeros((target.shape[1], STATE), np.float32)
     for a in range(0, len(target), BACK):
         stop = min(a + BACK, len(target))
@@ -150,10 +175,12 @@ def train(p: dict, tokens: np.ndarray, lengths: np.ndarray, end_word: int, rate:
         if not live.any():
             continue
         grads: dict[str, np.ndarray] = {}
-        _, back = output(p, np.stack(states)[live], target[a:stop][live], grads)
+        learned = target[a:stop][live]
+        _, back = output(p, np.stack(states)[live], learned, grads)
         down = np.zeros((stop - a, len(h), STATE), np.float32)
         down[live] = back
-        gx, guzr, gun = np.zeros_like(p["x"]), np.zeros_like(p["uzr"]), np.zeros_like(p["un"])
+        inputs = np.empty((stop - a, len(h), 3 * STATE), np.float32)
+        guzr, gun = np.zeros_like(p["uzr"]), np.zeros_like(p["un"])
         dh = np.zeros_like(h)
         for i in range(stop - a - 1, -1, -1):
             old, z, r, n = kept[i]
@@ -163,18 +190,79 @@ def train(p: dict, tokens: np.ndarray, lengths: np.ndarray, end_word: int, rate:
             gun += (r * old).T @ dn
             dzr = np.concatenate((d * (old - n) * z * (1 - z), drh * old * r * (1 - r)), 1)
             guzr += old.T @ dzr
-            np.add.at(gx, source[a + i], np.concatenate((dzr, dn), 1))
+            inputs[i, :, : 2 * STATE], inputs[i, :, 2 * STATE :] = dzr, dn
             dh = np.where(start[a + i][:, None], np.float32(0), d * z + drh * r + dzr @ p["uzr"].T)
-        grads |= {"x": gx, "uzr": guzr, "un": gun}
+        word = source[a:stop].ravel()
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(word[order]) != 0)))
+        grads |= {"x": np.add.reduceat(inputs.reshape(len(word), -1)[order], first), "uzr": guzr, "un": gun}
         k += 1
-        for x in NAMES:
-            g = (grads[x] / live.sum()).astype(np.float32)
-            m[x] += 0.1 * (g - m[x])
-            v[x] += 0.01 * (g * g - v[x])
-            p[x] -= rate * (m[x] / (1 - 0.9**k)) / (np.sqrt(v[x] / (1 - 0.99**k)) + 1e-8)
+        for x in (*SHARED, "x"):
+            at = word[order[first]] if x == "x" else ...
+            g = (grads[x] / len(learned)).astype(np.float32)
+            mean, power = m[x][at], v[x][at]
+            mean = m[x][at] = mean + np.float32(0.1) * (g - mean)
+            power = v[x][at] = power + np.float32(0.01) * (g * g - power)
+            p[x][at] -= rate * (mean / (1 - 0.9**k)) / (np.sqrt(power / (1 - 0.99**k)) + 1e-8)
+        seen = np.unique(learned // members)
+        for c in seen[seen < len(p["bw"])].tolist():
+            g, b = grads["ww"][c], grads["bw"][c]
+            squares[c] += b * b + np.einsum("ij,ij->i", g, g) / STATE
+            size = np.float32(rare_rate) / np.sqrt(squares[c])
+            p["bw"][c] -= size * b
+            p["ww"][c] -= size[:, None] * g
     return p
 
 
+def block_views(p: dict, block: int) -> list[np.ndarray]:
+    """The parameters of a class (input rows first), or, after the last class, the tail's input row and what all words share."""
+    classes, members = p["bw"].shape
+    if block == classes:
+        return [p["x"][-1], *(p[x] for x in SHARED)]
+    return [p["x"][block * members : (block + 1) * members], p["ww"][block], p["bw"][block]]
+
+
+def block_weights(n: np.ndarray, block: int, shape: tuple[int, int]) -> np.ndarray:
+    """Weight of each number of a block from its token counts: one per member, or those of the tail and of all words."""
+    classes, members = shape
+    if block == classes:
+        shared = sum(int(np.prod(shapes(*shape)[x])) for x in SHARED)
+        return np.concatenate((np.repeat(n[0], 3 * STATE), np.repeat(n[1], shared)))
+    return np.concatenate((np.repeat(n, 3 * STATE), np.repeat(n.sum(), members * (STATE + 1))))
+
+
+def get_block(p: dict, block: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    classes, members = p["bw"].shape
+    n = np.array([times[-1], times.sum()]) if block == classes else times[block * members : (block + 1) * members]
+    return n.astype(np.float64), np.concatenate([x.ravel() for x in block_views(p, block)]).astype(np.float32)
+
+
+def put_block(p: dict, block: int, n: np.ndarray, value: np.ndarray) -> None:
+    """Overwrite what has been trained."""
+    trained, at = block_weights(n, block, p["bw"].shape) > 0, 0
+    for view in block_views(p, block):
+        new, given = (x[at : at + view.size].reshape(view.shape) for x in (value, trained))
+        view[given] = new[given]
+        at += view.size
+
+
+def averaged(batches, shape: tuple[int, int]):
+    """The mean of each block over its rows by tokens; all rows of a block are in the same partition."""
+    totals: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for block, n, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            n = np.frombuffer(n)
+            part = np.frombuffer(value, np.float32) * block_weights(n, block, shape)
+            if block in totals:
+                totals[block][0] += n
+                totals[block][1] += part
+            else:
+                totals[block] = [n.copy(), part]
+    for block, (n, total) in totals.items():
+        value = (total / np.maximum(block_weights(n, block, shape), 1)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([n.tobytes()]), pa.array([value.tobytes()])], names=["block", "n", "v"])
+
+
 def document_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order, each text followed by the end token, and the number of tokens of each."""
     data, bounds = text_arrays(column)
@@ -199,13 +287,15 @@ def score_texts(
     """Log10 probability of every whole item text: (key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``).
 
     Tokens are the words between blanks (A-Z as a-z) and one end per text. ``training`` marks the rows that may teach; counts of
-    all their words give the base score, the sum of log10((c + 0.5) / (N + 0.5 (V + 1))). The model knows the 1,024 commonest words
-    singly; all others form its tail. A gated recurrent unit of 24 cells reads the text; the output is factored into 32 classes
-    and the tail, and a word's probability into that of its class and its share in it. A tail word has the tail's probability
-    times (c + 0.5) over the tail's sum of these (unseen words together count 0.5), so both scores spread over the same events.
+    all their words give the base score, the sum of log10((c + 0.5) / (N + 0.5 (V + 1))). The model knows the 65,536 commonest words
+    singly, each with an input row of its own; all others form its tail. A gated recurrent unit of 24 cells reads the text; the output
+    is factored into the tail and classes of words of like counts, as many classes as members, and a word's probability into that
+    of its class and its share in it. A tail word has the tail's probability times (c + 0.5) over the tail's sum of these (unseen
+    words together count 0.5), so both scores spread over the same events.
 
     Words count as equal if 64-bit hashes agree. In each of ``rounds`` rounds every partition trains on all its training texts with
-    truncated back-propagation, and the parameters are averaged by tokens. Training and scoring carry the state across windows to
+    truncated back-propagation, and the parameters are averaged: input rows by the tokens of their word, a class by those of its
+    words, the others by all tokens. Tasks take ``GROUP_TOKENS`` tokens or a partition, whichever is more. Training and scoring carry the state across windows to
     the end of a text, however long. Counts of the 65,536 commonest words go with the tasks; those of other words are joined.
 
     A null text counts as empty: one end token. A null ``training`` counts as true. Repeated rows and null keys are scored
@@ -234,36 +324,38 @@ def score_texts(
     by_hash, by_common = np.argsort(head), np.argsort(common)
     facts = {
         "head": head[by_hash], "word": by_hash, "end": int(np.flatnonzero(head == END)[0]), "common": common[by_common], "common_n": common_n[by_common],
-        "total": n_all + 0.5 * (v_all + 1), "tail_mass": tail_mass,
+        "total": n_all + 0.5 * (v_all + 1), "tail_mass": tail_mass, "tail": int(np.prod(factored(len(head)))),
     }
     sent = spark.sparkContext.broadcast(facts)
 
     def words_of(hashes: np.ndarray) -> np.ndarray:
         at, known = place(sent.value["head"], hashes)
-        return np.where(known, sent.value["word"][at], HEAD).astype(np.int32)
+        return np.where(known, sent.value["word"][at], sent.value["tail"]).astype(np.int32)
 
     p = first_parameters(np.maximum(head_n, 0.5), tail_mass)
-    sizes = {k: int(np.prod(s)) for k, s in shapes().items()}
-    some = teach.where("text IS NOT NULL")
+    classes, members = p["bw"].shape
+    some = teach.where("text IS NOT NULL").coalesce(max(1, -(-int(n_all) // GROUP_TOKENS)))
+    block = "block int, n binary, v binary"
     for _ in range(rounds if n_all else 0):
         now = spark.sparkContext.broadcast(p)
 
         def trained(batches, now=now):
-            current, seen = now.value, 0
+            current, times = now.value, np.zeros(classes * members + 1)
             for batch in slices(batches, "text"):
                 hashes, lengths = document_tokens(batch.column("text"))
-                current = train(current, words_of(hashes), lengths, sent.value["end"])
-                seen += len(hashes)
-            if seen:
-                flat = np.concatenate([current[k].ravel() for k in NAMES]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["w", "p"])
-
-        each = some.mapInArrow(trained, "w double, p array<double>").select("w", F.posexplode("p").alias("i", "v"))
-        mean = each.groupBy("i").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v")).orderBy("i").toArrow()["v"].to_numpy()
-        if not len(mean):
-            break
-        cut = np.cumsum([0, *[sizes[k] for k in NAMES]])
-        p = {k: mean[cut[i] : cut[i + 1]].reshape(shapes()[k]).astype(np.float32) for i, k in enumerate(NAMES)}
+                word = words_of(hashes)
+                current = train(current, word, lengths, sent.value["end"])
+                times += np.bincount(word, minlength=len(times))
+            for c in np.flatnonzero(times[:-1].reshape(classes, members).sum(1)).tolist() + [classes] * bool(times.any()):
+                n, value = get_block(current, c, times)
+                columns = [pa.array([c], pa.int32()), pa.array([n.tobytes()]), pa.array([value.tobytes()])]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "n", "v"])
+
+        # One block for each class and one for what all share; the mean of a block is taken where its rows meet.
+        means = some.mapInArrow(trained, block).repartition("block").mapInArrow(lambda batches: averaged(batches, (classes, members)), block)
+        p = {k: v.copy() for k, v in p.items()}
+        for row in means.toArrow().to_pylist():
+            put_block(p, row["block"], np.frombuffer(row["n"]), np.frombuffer(row["v"], np.float32))
     final = spark.sparkContext.broadcast(p)
 
     fields = {"id": T.StringType(), "key": records.schema[key].dataType, "train": T.BooleanType(), "n_tokens": T.LongType(), "n_known": T.LongType(),
@@ -286,7 +378,7 @@ def score_texts(
             logs = np.zeros(len(hashes))
             logs[known] = np.log10(facts["common_n"][at[known]] + 0.5)
             base = np.bincount(text_of[known], logs[known] - np.log10(facts["total"]), n)
-            tail = known & (word == HEAD)
+            tail = known & (word == facts["tail"])
             model += np.bincount(text_of[tail], logs[tail] - np.log10(facts["tail_mass"]), n)
             n_known = np.bincount(text_of[known], minlength=n)
             ids = [f"{part}-{number + i}" for i in range(n)]

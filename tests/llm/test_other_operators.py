@@ -196,6 +196,38 @@ def test_language_model_learns_every_training_text(spark):
     assert len(copies) == 4000 and (copies.score > copies.base_score + 3).all()
 
 
+def test_language_model_tells_apart_words_past_the_commonest_thousand():
+    rng = np.random.default_rng(3)
+    p = lm.first_parameters(np.full(3000, 5.0), 1.0)
+    pairs = np.array([[1500, 2000, 0], [1501, 2700, 0]], np.int32)
+    tokens, lengths = pairs[rng.integers(0, 2, 6000)].ravel(), np.full(6000, 3)
+    for _ in range(6):
+        p = lm.train(p, tokens, lengths, 0, 0.03)
+    right = lm.text_scores(p, pairs.ravel(), np.array([3, 3]), 0)
+    wrong = lm.text_scores(p, pairs[:, [0, 1, 2]][[0, 1]].ravel()[[0, 4, 2, 3, 1, 5]], np.array([3, 3]), 0)
+    assert (right > wrong + 1).all()
+
+
+def test_language_model_blocks_are_averaged_by_the_tokens_of_their_words():
+    import pyarrow as pa
+
+    p, q = (lm.first_parameters(np.full(10, 5.0), 1.0) for _ in range(2))
+    shape = p["bw"].shape
+    for x in q.values():
+        x += 1
+    times = np.arange(shape[0] * shape[1] + 1, dtype=float)
+    rows = [(c, *lm.get_block(x, c, t)) for x, t in ((p, times), (q, 3 * times)) for c in range(shape[0] + 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), *(pa.array([r[i].tobytes() for r in rows]) for i in (1, 2))], names=["block", "n", "v"])
+    got = {k: np.full_like(v, 9) for k, v in p.items()}
+    for out in lm.averaged([batch], shape):
+        r = out.to_pylist()[0]
+        lm.put_block(got, r["block"], np.frombuffer(r["n"]), np.frombuffer(r["v"], np.float32))
+    assert (got["x"][0] == 9).all()  # a word without tokens keeps its row
+    got["x"][0] = p["x"][0] + 0.75
+    for k in p:
+        assert got[k] == pytest.approx(p[k] + 0.75, rel=1e-5)
+
+
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
