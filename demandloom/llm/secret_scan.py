@@ -15,7 +15,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 RANDOM = "random"
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings from narrow to wide: name, pattern of the whole run, alphabet in the order of its values.
 ENCODINGS = (
@@ -67,6 +68,24 @@ def encoding_of(body: Column) -> Column:
     return F.coalesce(*[F.when(mixed & body.rlike(f"^{p}$"), F.lit(name)) for name, p, _ in ENCODINGS])
 
 
+def pieces_of(run: Column) -> Column:
+    """The run itself and its pieces of 20 or more characters between slashes and, if no encoding holds the run, between the
+    marks of either wide encoding; each with its inferred encoding, none twice.
+    """
+    body = run["body"]
+
+    def between(marks: str) -> Column:
+        found = matches(body, f"[^{marks}]{{{LEAST},}}")
+        return F.transform(found, lambda s: F.struct((run["start"] + s["start"]).alias("start"), (run["start"] + s["end"]).alias("end"), s["body"].alias("body")))
+
+    none = F.array().cast(SPANS)
+    whole = F.array(F.struct(run["start"].alias("start"), run["end"].alias("end"), body.alias("body")))
+    cut = F.when(body.contains("/"), between("/")).otherwise(none)
+    both = F.when(body.rlike("[/+]") & body.rlike("[_-]"), F.concat(between("/+"), between("_-"), between("/+_-"))).otherwise(none)
+    every = F.array_distinct(F.concat(whole, cut, both))
+    return F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["body"].alias("body"), encoding_of(s["body"]).alias("encoding")))
+
+
 def battery(run: Column) -> Column:
     """Bonferroni-combined p-value of three tests of the symbols of ``run`` (fields ``body``, ``encoding``) against a uniform source.
 
@@ -106,9 +125,10 @@ def scan_secrets(records: DataFrame, key: str = "SKU", text: str = "Product_Name
 
     ``spans`` is an array of (start, kind_rank, kind, end) in code points, end exclusive, ordered by start and kind. The base
     kinds are ``assign``, ``access`` and ``hex``. Kind ``random`` adds runs of 20 or more encoded characters that overlap no base
-    span: the encoding is inferred from the characters, the battery gives each run a p-value against a uniform source, and
+    span, and their pieces of that length between slashes (in a run that no encoding holds, also between the marks foreign to
+    one of the wide encodings): the encoding is inferred from the characters, the battery gives each run a p-value against a uniform source, and
     Benjamini-Hochberg within each encoding and length class (powers of two) dismisses runs as ordinary text while at most a
-    share ``false_discovery`` of the dismissed are random; the others are secrets. p-values are rounded up to thousandths, so the
+    share ``false_discovery`` of the dismissed are random; the others are secrets (of runs and pieces that overlap, all that stay). p-values are rounded up to thousandths, so the
     procedure needs only counts per class and thousandth, over all rows. ``redacted`` is the text with each union of
     overlapping spans replaced by a mark. A null text counts as empty and has no spans; its redacted text stays null. Null keys,
     repeated rows and texts of any length are scanned like any other; an empty table gives no rows; other columns are dropped.
@@ -122,9 +142,7 @@ def scan_secrets(records: DataFrame, key: str = "SKU", text: str = "Product_Name
             s["start"].alias("start"), F.lit(rank[name]).alias("kind_rank"), F.lit(name).alias("kind"), s["end"].alias("end")
         ))
 
-    runs = F.transform(matches(value, CANDIDATE), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["body"].alias("body"), encoding_of(s["body"]).alias("encoding")
-    ))
+    runs = F.flatten(F.transform(matches(value, CANDIDATE), pieces_of))
     found = records.select(
         F.col(key).alias("_key"), F.col(text).alias("_text"), F.array_sort(F.concat(*[base(*k) for k in KINDS])).alias("_base"), runs.alias("_runs")
     )

@@ -115,6 +115,24 @@ def test_secret_spans(spark):
     assert scan_secrets(items(spark, [])).collect() == []
 
 
+def test_secret_keys_behind_paths(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key, url_key, wide = ("".join(rng.choices(x, k=40)) for x in (letters, letters + "-_", letters + "+"))
+    texts = [
+        f"see /reset-password/{key} now", f"/user_data/v1/{key}/end", f"/plain/path/of/words/{key}", f"a/path/to/{url_key}", f"my-page_one/{wide}",
+        f"é /a-b/{key} and /c_d/{key}", "/some-long_path/with/ordinary_words-only/and-a-number/2/here_and_there",
+    ]
+    got = {r.SKU: r for r in scan_secrets(items(spark, list(enumerate(texts))), keep_text=True).collect()}
+    keys = [[key], [key], [key], [url_key], [wide], [key, key], []]
+    for i, text in enumerate(texts):
+        for k in keys[i]:
+            assert k not in got[i].redacted
+        covered = [any(s.start <= m.start() and m.end() <= s.end for s in got[i].spans) for k in set(keys[i]) for m in re.finditer(re.escape(k), text)]
+        assert all(covered) and len(covered) == len(keys[i])
+    assert got[0].redacted.startswith("see /reset-") and got[0].redacted.endswith("[SECRET] now")
+
+
 @pytest.mark.parametrize("ranks", [None, RANKS])
 def test_packing_round_trip(spark, ranks):
     from tokenizers import Tokenizer
