@@ -86,16 +86,19 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
     )
 
 
-def identified(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns of the documents with the predicted language, learned from the fold that may be read."""
-    training = docs.where(fold("doc_id", 4) != 2).select(F.col("text").alias("Product_Name"), F.col("lang").alias("language"))
-    items = docs.select(F.struct(*keep).alias("SKU"), F.col("text").alias("Product_Name"))
-    return identify_language(items, training).select("SKU.*", "lang_pred", "score")
+def language_training(docs: DataFrame) -> DataFrame:
+    """Texts and languages of the fold that may be read."""
+    return docs.where(fold("doc_id", 4) != 2).select(F.col("text").alias("Product_Name"), F.col("lang").alias("language"))
+
+
+def language_items(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return docs.select(F.struct(*keep).alias("SKU"), F.col("text").alias("Product_Name"))
 
 
 @query("op5_language")
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = identified(table(spark, sf_dir, "documents"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    out = identify_language(language_items(docs, ["doc_id"]), language_training(docs)).select("SKU.*", "lang_pred", "score")
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 

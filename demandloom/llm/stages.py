@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import shared_passages
-from .queries import as_items, identified, pack_items, piece_digests, table
+from .language import identify_language
+from .queries import as_items, language_items, language_training, pack_items, piece_digests, table
 from .secret_scan import scan_secrets
 from .similar import similar_groups
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told: without text or without a letter."""
-    return identified(docs, docs.columns).where(F.col("lang_pred") != "und").drop("lang_pred", "score")
+    items = language_items(docs, docs.columns)
+    return identify_language(items, language_training(docs)).where(F.col("lang_pred") != "und").select("SKU.*")
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,3 +253,12 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
             assert set(kept) == set(texts) and all(t == texts[k] or "[SECRET]" in t for k, t in kept.items())
     assert {r.doc_id for r in docs.collect()} == set(kept)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_language_stage_keeps_columns_named_like_its_own(spark):
+    from demandloom.llm.stages import keep_known_languages
+
+    docs = spark.createDataFrame([(i, "the cat and the dog", "en", "x", 0.5) for i in range(12)] + [(50, "12", "en", "y", 0.7)], "doc_id long, text string, lang string, lang_pred string, score double")
+    got = keep_known_languages(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in got.collect()) == [(i, "x", 0.5) for i in range(12)]
