@@ -104,8 +104,12 @@ def backtest_models(
     families: Sequence[str],
     horizons: Sequence[int] = tuple(range(1, HORIZON + 1)),
     params: Mapping[str, dict] | None = None,
+    root: str | None = None,
 ) -> DataFrame:
-    """Expanding-window backtest: for every origin and horizon train on the past, predict at the origin."""
+    """Expanding-window backtest: for every origin and horizon train on the past, predict at the origin.
+
+    With ``root`` the predictions of each origin are written there and read back, so the plan does not grow with the origins.
+    """
     params = params or {}
     predictors = feature_names(features)
 
@@ -116,7 +120,19 @@ def backtest_models(
 
         return go
 
-    return _run([job(o, h, f) for o in origins for h in horizons for f in families])
+    if root is None:
+        return _run([job(o, h, f) for o in origins for h in horizons for f in families])
+    paths = [f"{root}/{i}" for i in range(len(origins))]
+    for origin, path in zip(origins, paths):
+        _run([job(origin, h, f) for h in horizons for f in families]).write.parquet(path)
+    return features.sparkSession.read.parquet(*paths)
+
+
+def usable_origins(features: DataFrame, origins: Sequence) -> list:
+    """The origins at which every horizon has a training row."""
+    targets = [F.min(F.when(F.col(f"target_h{h}").isNotNull(), F.date_add("forecast_origin_date", 7 * h))) for h in range(1, HORIZON + 1)]
+    known = features.filter(F.col("lag_52").isNotNull()).agg(*targets).first()
+    return sorted(o for o in origins if all(k is not None and k <= o for k in known))
 
 
 def direct_multi_horizon(
@@ -204,5 +220,6 @@ def serialization_parity(before: DataFrame, after: DataFrame) -> DataFrame:
 
 __all__ = [
     "DemandFeatures", "backtest_models", "direct_multi_horizon", "feature_table", "fit_model", "hybrid_predict", "load_models",
-    "predict", "predict_multi", "retrain_best", "save_models", "serialization_parity", "training_rows", "tune_grid", "KEYS",
+    "predict", "predict_multi", "retrain_best", "save_models", "serialization_parity", "training_rows", "tune_grid",
+    "usable_origins", "KEYS",
 ]

@@ -254,8 +254,32 @@ def _(c):
 
 # --- MLlib (row checks only: learners have no SQL form) ------------------------------------------------
 
-# Small learners: the registered runs show the operators on whole tables, not the best accuracy.
-TREES = {"random_forest": {"numTrees": 10, "maxDepth": 5}, "gbt_squared": {"maxIter": 5, "maxDepth": 4}, "gbt_absolute": {"maxIter": 5, "maxDepth": 4}}
+# Configurations of the reference's tuning grids; its leaf counts become the depth that holds as many leaves.
+_BOOSTED = {
+    "gbt_squared": (
+        (0.05, 5, 20, 0.8, 0.8), (0.04, 5, 25, 0.75, 0.75), (0.03, 4, 30, 0.7, 0.7), (0.02, 3, 40, 0.7, 0.6),
+        (0.05, 6, 1, 0.8, 0.8), (0.03, 4, 3, 0.75, 0.7), (0.03, 3, 4, 0.7, 0.65), (0.06, 5, 2, 0.85, 0.85),
+    ),
+    "gbt_absolute": (
+        (0.05, 5, 20, 0.8, 0.8), (0.03, 5, 25, 0.8, 0.8), (0.04, 5, 25, 0.75, 0.75), (0.03, 4, 30, 0.7, 0.7), (0.03, 4, 35, 0.7, 0.65),
+        (0.02, 3, 40, 0.7, 0.6), (0.02, 4, 30, 0.8, 0.7), (0.06, 5, 20, 0.85, 0.85),
+        (0.05, 6, 1, 0.8, 0.8), (0.04, 5, 2, 0.8, 0.75), (0.03, 4, 3, 0.75, 0.7), (0.03, 3, 4, 0.7, 0.65), (0.02, 3, 5, 0.7, 0.6),
+        (0.02, 4, 3, 0.8, 0.7), (0.06, 6, 2, 0.85, 0.85), (0.04, 4, 2, 0.8, 0.8),
+    ),
+}
+_FORESTS = ((15, 1, 1.0), (12, 2, 0.8), (10, 2, 0.8), (10, 3, 0.7), (8, 3, 0.7), (8, 4, 0.6), (6, 4, 0.6), (6, 5, 0.5), (5, 6, 0.5), (12, 1, 0.75))
+GRIDS = {
+    "linear": [{"regParam": 0.0}, {"regParam": 0.3}],
+    "random_forest": [{"maxDepth": d, "minInstancesPerNode": n, "featureSubsetStrategy": str(share)} for d, n, share in _FORESTS],
+    **{
+        family: [
+            {"stepSize": rate, "maxDepth": d, "minInstancesPerNode": n, "subsamplingRate": rows, "featureSubsetStrategy": str(share)}
+            for rate, d, n, rows, share in configs
+        ]
+        for family, configs in _BOOSTED.items()
+    },
+}
+FAMILIES = tuple(ml.LEARNERS)
 
 
 def _last_origins(c, n: int) -> list:
@@ -263,6 +287,10 @@ def _last_origins(c, n: int) -> list:
     return sorted(r[0] for r in c.origins.collect())[-n:]
 
 
+def _usable_origins(c, table) -> list:
+    return ml.usable_origins(table, [r[0] for r in c.origins.collect()])
+
+
 def _saved_features(c):
     """Features written once, since every fit reads them again."""
     path = f"{work_dir(c.spark)}/features"
@@ -273,7 +301,8 @@ def _saved_features(c):
 def _one_model(name: str, family: str) -> None:
     @query(name)
     def _(c):
-        return ml.backtest_models(_saved_features(c), _last_origins(c, 1), [family], [1], TREES)
+        table = _saved_features(c)
+        return ml.backtest_models(table, _usable_origins(c, table), [family], root=f"{work_dir(c.spark)}/backtest")
 
 
 _one_model("model_random_forest", "random_forest")
@@ -284,7 +313,8 @@ _one_model("model_linear", "linear")
 
 @query("backtest_models")
 def _(c):
-    return ml.backtest_models(_saved_features(c), _last_origins(c, 2), ["linear", "random_forest"], [1, 2], TREES)
+    table = _saved_features(c)
+    return ml.backtest_models(table, _usable_origins(c, table), FAMILIES, root=f"{work_dir(c.spark)}/backtest")
 
 
 @query("direct_multi_horizon")
@@ -298,8 +328,8 @@ def _(c):
 
 @query("tune_grid")
 def _(c):
-    grids = {"linear": [{"regParam": 0.0}, {"regParam": 0.3}], "random_forest": [{"numTrees": 5, "maxDepth": 4}]}
-    return ml.tune_grid(_saved_features(c), _last_origins(c, 2), grids, [1, 2])
+    table = _saved_features(c)
+    return ml.tune_grid(table, _usable_origins(c, table), GRIDS, range(1, feat.HORIZON + 1))
 
 
 @query("retrain_best")
@@ -315,10 +345,17 @@ def _(c):
 
 @query("hybrid_predict")
 def _(c):
+    """Each horizon gets the model with the lowest pooled WAPE at the usable origins before the last, the seasonal one if equal."""
     table = _saved_features(c)
-    origin = _last_origins(c, 1)[0]
-    models = {"linear": ml.direct_multi_horizon(table, "linear", origin, [1, 2])}
-    choice = {1: "linear", 2: "linear", **{h: "seasonal_naive" for h in range(3, 9)}}
+    *before, origin = _usable_origins(c, table)
+    trials = ml.backtest_models(table, before, FAMILIES, root=f"{work_dir(c.spark)}/backtest")
+    names = ["model", "SKU", "forecast_origin_date", "horizon"]
+    naive = c.seasonal.filter(F.col("forecast_origin").isin(before)).withColumnRenamed("forecast_origin", "forecast_origin_date")
+    both = trials.select(*names, "actual", "prediction").unionByName(naive.select(*names, "actual", F.col("forecast").alias("prediction")))
+    scored = metrics.forecast_metrics(both, ["model", "horizon"], forecast="prediction")
+    chosen = metrics.select_architecture(scored, ["seasonal_naive", *FAMILIES]).select("horizon", "selected_model").collect()
+    choice = dict(sorted((r["horizon"], r["selected_model"]) for r in chosen))
+    models = {m: ml.direct_multi_horizon(table, m, origin, [h for h in choice if choice[h] == m]) for m in set(choice.values()) - {"seasonal_naive"}}
     at = table.filter(F.col("forecast_origin_date") == F.lit(origin))
     return ml.hybrid_predict(at, c.last_seasonal, models, choice)
 

@@ -8,6 +8,7 @@ from ..operators import features as feat
 from ..operators import profile, quality, risk
 from ..schemas import SALES
 from ..sources import sinks
+from ..sources.checkpoints import cut_lineage
 from .context import work_dir
 from .registry import query
 
@@ -332,24 +333,36 @@ def _(c):
     "SELECT unnest(['rolling_mean_8', 'rolling_std_4', 'lag_52', 'ewma_decay_03', 'promo_days_last_8w', 'latest_known_stock']) AS feature, CAST(0 AS DOUBLE) AS max_abs_diff",
 )
 def _(c):
-    """Change every sale after the last origin's week and every later snapshot; its features must not move."""
-    origin = c.last_origin.agg(F.max("forecast_origin")).scalar()
-    later = F.col("Date") > F.date_add(F.col("_o"), 6)
-    sales = c.sales.withColumn("_o", origin)
-    changed = sales.withColumns(
-        {"Units_Sold": F.when(later, F.col("Units_Sold") * 7 + 13).otherwise(F.col("Units_Sold")), "Promotion": F.when(later, 1 - F.col("Promotion")).otherwise(F.col("Promotion"))}
-    ).drop("_o")
-    snaps = c.snapshots.withColumn("_o", origin)
-    changed_snaps = snaps.withColumn(
-        "Current_Stock", F.when(F.col("snapshot_date") > F.col("_o"), F.col("Current_Stock") + 5000).otherwise(F.col("Current_Stock"))
-    ).drop("_o")
-    keep = [*feat.KEYS, "rolling_mean_8", "rolling_std_4", "lag_52", "ewma_decay_03", "promo_days_last_8w", "latest_known_stock"]
-
-    def at_origin(daily, snapshots):
-        table = feat.feature_table(daily, c.norm_master, snapshots).select(*keep).withColumn("_o", origin)
-        return table.filter(F.col("forecast_origin_date") == F.col("_o")).drop("_o")
-
-    return quality.future_perturbation(at_origin(c.sales, c.snapshots), at_origin(changed, changed_snaps), feat.KEYS)
+    """Six features of all; ``dq_future_perturbation_all`` has every one."""
+    kept = ["rolling_mean_8", "rolling_std_4", "lag_52", "ewma_decay_03", "promo_days_last_8w", "latest_known_stock"]
+    return perturbed_at_origins(c).filter(F.col("feature").isin(kept))
+
+
+@query("dq_future_perturbation_all")
+def _(c):
+    return perturbed_at_origins(c)
+
+
+def perturbed_at_origins(c, table=feat.feature_table):
+    """At every origin, change every sale after its week and every later snapshot; none of its numeric features may move.
+
+    The largest difference of each feature over all origins. Each origin gets its own copy of the items, so ``table`` (features
+    from daily sales, master and snapshots) is built once with the changes and once without.
+    """
+    origins = F.broadcast(c.origins.select(F.col("forecast_origin").alias("_o")))
+    later, later_snap = F.col("Date") > F.date_add("_o", 6), F.col("snapshot_date") > F.col("_o")
+    changed = {"Units_Sold": F.when(later, F.col("Units_Sold") * 7 + 13).otherwise(F.col("Units_Sold")), "Promotion": F.when(later, 1 - F.col("Promotion")).otherwise(F.col("Promotion"))}
+    changed_snaps = {"Current_Stock": F.when(later_snap, F.col("Current_Stock") + 5000).otherwise(F.col("Current_Stock"))}
+
+    def at_origins(sales_changes, snap_changes):
+        def copies(df, changes):
+            return df.crossJoin(origins).withColumns({"SKU": F.concat_ws("@", "SKU", F.col("_o").cast("string")), **changes}).drop("_o")
+
+        out = table(copies(c.sales, sales_changes), copies(c.norm_master, {}), copies(c.snapshots, snap_changes))
+        out = out.filter(F.substring_index("SKU", "@", -1) == F.col("forecast_origin_date").cast("string"))
+        return cut_lineage(out.drop(*[x for x in out.columns if x.startswith("target_h")]))
+
+    return quality.future_perturbation(at_origins({}, {}), at_origins(changed, changed_snaps), feat.KEYS)
 
 
 @query(

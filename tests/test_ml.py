@@ -54,3 +54,49 @@ def test_training_rows_end_before_the_served_origin(table):
     for h in (1, 8):
         last = ml.training_rows(table, origin, h).agg(F.max("forecast_origin_date")).first()[0]
         assert last + dt.timedelta(7 * h) <= origin
+
+
+def test_backtest_written_by_origin_covers_usable_origins_and_all_horizons(table, tmp_path):
+    origins = [FIRST + dt.timedelta(7 * w) for w in (40, 58, 75, 85)]
+    usable = ml.usable_origins(table, origins)
+    assert usable == origins[2:]  # the first target eight weeks ahead of a row with a lag of 52 weeks is known in week 60
+    got = ml.backtest_models(table, usable, ["linear"], root=str(tmp_path / "b")).collect()
+    assert {(r["forecast_origin_date"], r["horizon"]) for r in got} == {(o, h) for o in usable for h in range(1, 9)} and len(got) == 4 * 2 * 8
+
+
+def test_registered_model_queries_ask_for_the_whole_job(spark, monkeypatch):
+    from demandloom.plans import catalog_forecast, load_catalog
+    from demandloom.plans.context import Context
+
+    sf, asked = "/root/testdata/sf0.001", {}
+    c = Context(spark, sf)
+    saved = c.features.cache()
+    usable = ml.usable_origins(saved, [r[0] for r in c.origins.collect()])
+    monkeypatch.setattr(catalog_forecast, "_saved_features", lambda c: saved)
+
+    def record(features, origins, families, horizons=tuple(range(1, 9)), params=None, root=None):
+        asked[name].append((list(origins), set(families), list(horizons), params))
+        return features.limit(0)
+
+    monkeypatch.setattr(ml, "backtest_models", record)
+    for name in ("model_random_forest", "model_gbt", "model_gbt_absolute", "model_linear", "backtest_models"):
+        asked[name] = []
+        load_catalog()[name].run(spark, sf)
+        (origins, families, horizons, params), = asked[name]
+        assert origins == usable and len(usable) >= 9 and horizons == list(range(1, 9)) and params is None
+        assert families == set(ml.LEARNERS) if name == "backtest_models" else len(families) == 1
+
+
+def test_future_perturbation_sees_a_leak_in_any_feature_at_any_origin(spark):
+    from demandloom.plans.catalog_quality import perturbed_at_origins
+    from demandloom.plans.context import Context
+
+    c = Context(spark, "/root/testdata/sf0.001")
+    origin = min(r[0] for r in c.origins.collect())
+
+    def leaking(*inputs):
+        leak = F.when(F.col("forecast_origin_date") == F.lit(origin), F.col("target_h3")).otherwise(0)
+        return features.feature_table(*inputs).withColumn("log_price", F.col("log_price") + leak)
+
+    gaps = {r["feature"]: r["max_abs_diff"] for r in perturbed_at_origins(c, leaking).collect()}
+    assert len(gaps) > 40 and [k for k, v in gaps.items() if v] == ["log_price"]
