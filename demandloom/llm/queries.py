@@ -159,7 +159,7 @@ URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 @query("op8_urls")
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, rounds=None)
 
 
 SQL_OP10 = """

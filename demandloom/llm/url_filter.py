@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,11 +36,12 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, root: str, rounds: int, damping: float) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, root: str, rounds: int | None, damping: float) -> DataFrame:
     """(``host``, ``score``): personalised PageRank of ``seeds`` (host, seed) over ``edges`` (src, dst, share), in units of a lone seed."""
     scores = seeds.select("host", F.col("seed").alias("score"))
     moved = None
-    for i in range(rounds):
+    # Each round moves at most ``damping`` of the mass that the one before moved.
+    for i in range(math.ceil(math.log(1e-9 * (1 - damping)) / math.log(damping)) if rounds is None else rounds):
         flow = edges.join(scores, edges["src"] == scores["host"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
         both = seeds.join(flow.withColumnRenamed("dst", "host"), "host", "full")
         new = both.select("host", (F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"))
@@ -52,7 +54,7 @@ def spread(seeds: DataFrame, edges: DataFrame, root: str, rounds: int, damping:
 
 
 def filter_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", html: str = "html", rounds: int = 10,
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]], key: str = "page_id", url: str = "url", html: str = "html", rounds: int | None = 10,
     damping: float = 0.85, threshold: float = 0.5,
 ) -> DataFrame:
     """Verdict for every page: (key, ``host``, ``path``, ``rule``, ``verdict``, ``trust``, ``distrust``).
@@ -61,7 +63,7 @@ def filter_urls(
     its host and subdomains where the page's path starts with the rule's, and the longest wins. Other pages get the verdict of
     their host. A host's seed of trust (distrust) is the share of its pages that rules allow (block). Trust follows links from host
     to host, distrust follows them backwards, each host passing on ``damping`` of its score by its number of links, for at
-    most ``rounds`` rounds or until nothing moves. A host is blocked if its distrust exceeds its trust by ``threshold`` or more,
+    most ``rounds`` rounds (None: as many as it takes) or until nothing moves. A host is blocked if its distrust exceeds its trust by ``threshold`` or more,
     where an isolated host that is blocked as a whole has distrust 1.
 
     Links within a host, relative links and pages without html add nothing. A null url, or one without ``://``, has empty host

@@ -102,6 +102,13 @@ def test_url_rules_and_link_graph(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), RULES).collect() == []
 
 
+def test_url_distrust_reaches_hosts_past_ten_links(spark):
+    pages = [(0, "http://evil.net/x", "")] + [(i, f"http://h{i}.io/", f'<a href="http://{f"h{i - 1}.io" if i > 1 else "evil.net"}/">') for i in range(1, 13)]
+    got = filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES, rounds=None).collect()
+    for r in got:
+        assert r.distrust == pytest.approx(0.85**r.page_id)
+
+
 def test_conversations_collapse_to_the_longest(spark):
     a = [("user", "hi"), ("assistant", "hello"), ("user", "more")]
     talks = {1: a, 2: a[:2], 3: a[:1], 4: a, 5: [("user", "hi"), ("assistant", "other")], 6: [("user", None)], 7: [(None, "")], 8: [("assistant", "hi")]}
