@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,10 +13,12 @@ from .decontaminate import shared_passages
 from .language_model import score_texts
 from .language import identify_language
 from .packing import pack_sequences
+from .resample import resample_items
 from .secret_scan import KINDS, scan_secrets
 from .similar import similar_groups
 from .toxicity import classify_toxicity
 from .url_filter import filter_urls
+from .vector_codes import encode_vectors
 from .vectors import similar_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,7 +136,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_OP4 = r"""
 WITH RECURSIVE w AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
     SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END AS s FROM w),
@@ -187,3 +190,74 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "SKU")
     return classify_toxicity(documents(spark, sf_dir), labels).withColumnRenamed("SKU", "doc_id")
+
+
+def as_vectors(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("vec_id").alias("SKU"), F.col("label").alias("Category"), F.col("embedding").alias("features"))
+
+
+def codes_sql(rounds: int = 2) -> str:
+    """Every part against every entry, spelled out for each round."""
+    near = "(SELECT id, p, arg_min(e, [d, e]) AS e, min(d) AS d FROM (SELECT q.id, q.p, b.e, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - b.x[i]) * (q.x[i] - b.x[i]))) AS d FROM q JOIN b{} AS b USING (p)) GROUP BY id, p)"
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""n{r} AS {near.format(r)},
+m{r} AS (SELECT p, e, list(s ORDER BY i) AS x FROM (SELECT n.p, n.e, i, CAST(floor(sum(q.x[i]) / count(*)) AS BIGINT) AS s FROM n{r} AS n JOIN q USING (id, p), (SELECT unnest(range(1, w + 1)) AS i FROM k) GROUP BY n.p, n.e, i) GROUP BY p, e),
+b{r + 1} AS (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{r} AS b LEFT JOIN m{r} AS m USING (p, e))""")
+    return f"""
+WITH v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x, row_number() OVER (ORDER BY vec_id NULLS LAST) AS id
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+k AS (SELECT CAST(max(len(x)) / 16 AS BIGINT) AS w FROM v),
+q AS (SELECT id, p, list_slice(x, p * w + 1, p * w + w) AS x FROM v, k, (SELECT unnest(range(16)) AS p)),
+b0 AS (SELECT p, id - 1 AS e, x FROM q WHERE id <= 64),
+{", ".join(steps)},
+f AS {near.format(rounds)},
+c AS (SELECT id, array_to_string(list(lpad(lower(to_hex(e)), 2, '0') ORDER BY p), '') AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY id),
+h AS (SELECT sha256(array_to_string(list(array_to_string(x, ',') ORDER BY p, e), ',')) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN c USING (id), h
+"""
+
+
+@query("op11_codes", codes_sql())
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_vectors(as_vectors(table(spark, sf_dir, "embeddings")))
+    text = ",".join(str(x) for book in found.codebooks for entry in book for x in entry)
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    digest = F.lit(hashlib.sha256(text.encode()).hexdigest())
+    return found.codes.select(F.col("SKU").alias("vec_id"), code.alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+# Words and their pairs are counted whole; crc32 runs bit by bit over the UTF-8 bytes of each distinct feature.
+SQL_OP13 = r"""
+WITH x AS (
+    SELECT 'd' AS side, row_number() OVER () AS i, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+w AS (
+    SELECT side, i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS (
+    SELECT side, i, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1]) ELSE [] END)) AS g FROM w),
+n AS (SELECT side, i, g, count(*) AS n FROM f GROUP BY ALL),
+g AS (SELECT DISTINCT g FROM n),
+y AS (SELECT g, list_transform(range(length(hex(g)) // 2), lambda p: CAST(('0x' || substr(hex(g), CAST(2 * p + 1 AS BIGINT), 2)) AS BIGINT)) AS y FROM g),
+c AS (
+    SELECT g, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(y, lambda b: list_transform(range(8), lambda k: (b >> CAST(k AS BIGINT)) & 1)))),
+        lambda s, b: xor(s >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295) % 10000 AS bucket FROM y),
+k AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM n JOIN c USING (g) GROUP BY bucket),
+a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM k),
+h AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM k, a),
+p AS (SELECT i, sum(n) AS n_features, sum(n * gain) AS total FROM n JOIN c USING (g) JOIN h USING (bucket) WHERE side = 'd' GROUP BY i),
+q AS (
+    SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features,
+        CAST(coalesce((total - ((total % n_features) + n_features) % n_features) / n_features, 0) AS BIGINT) AS weight,
+        CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+    FROM w LEFT JOIN p USING (i) WHERE side = 'd'),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM q),
+r AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM z WHERE n_words >= 20) THEN place END AS rank FROM r
+"""
+
+
+@query("op13_resample", SQL_OP13)
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample_items(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select("text"), target_text="text")
+    return out.withColumnRenamed("SKU", "doc_id")
