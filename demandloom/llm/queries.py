@@ -13,6 +13,7 @@ from .decontaminate import shared_passages
 from .language_model import score_texts
 from .language import identify_language
 from .packing import pack_sequences
+from .repeats import remove_repeats
 from .resample import resample_items
 from .secret_scan import KINDS, scan_secrets
 from .similar import similar_groups
@@ -261,3 +262,29 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 25 * count(
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample_items(documents(spark, sf_dir), table(spark, sf_dir, "benchmark").select("text"), target_text="text")
     return out.withColumnRenamed("SKU", "doc_id")
+
+
+SQL_OP12 = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, b[s:s + 99] AS x FROM (SELECT *, unnest(range(1, n - 98)) AS s FROM t WHERE n >= 100)),
+d AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+g AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM d),
+i AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM g) GROUP BY doc_id, k),
+p AS (
+    SELECT doc_id, lag(e, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS f, a - 1 AS u FROM i UNION ALL SELECT doc_id, max(e), NULL FROM i GROUP BY doc_id),
+h AS (SELECT doc_id, unhex(string_agg(hex(b[f:coalesce(u, n)]), '' ORDER BY f)) AS kept FROM p JOIN t USING (doc_id) WHERE f <= coalesce(u, n) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM i GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(CASE WHEN n_spans IS NULL THEN b ELSE coalesce(kept, encode('')) END) AS kept_sha256
+FROM t LEFT JOIN c USING (doc_id) LEFT JOIN h USING (doc_id)
+"""
+
+
+@query("op12_repeats", SQL_OP12)
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("SKU").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
