@@ -15,7 +15,8 @@ from .components import stored
 END = np.uint64(0)
 STATE = 24
 KNOWN_WORDS = HEAD = 65_536
-LANES, WINDOW, BACK, ROWS = 256, 64, 16, 512
+LANES, WINDOW_TOKENS, BACK, ROWS = 512, 16_384, 16, 512
+FULL_WINDOW = 2048
 GROUP_TOKENS = 2_500_000
 SHARED = ("uzr", "un", "wc", "bc")
 
@@ -75,12 +76,13 @@ def step(p: dict, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def output(p: dict, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each target (head word, or the tail as a whole) given its state; fills ``grads`` if asked to."""
+    """Natural log probability of each target (head word, or the tail as a whole) given its state; fills ``grads`` if asked to, with
+    those of the classes met under ``members``."""
     classes, members = p["bw"].shape
     kind = target // members
     got, back = np.empty(len(target), states.dtype), None
     if grads is not None:
-        grads |= {x: np.zeros_like(p[x]) for x in ("wc", "bc", "ww", "bw")}
+        grads |= {"wc": np.zeros_like(p["wc"]), "bc": np.zeros_like(p["bc"]), "members": {}}
         back = np.empty_like(states)
     for a in range(0, len(target), ROWS):  # blocks that stay in the cache
         part = slice(a, a + ROWS)
@@ -93,20 +95,25 @@ def output(p: dict, states: np.ndarray, target: np.ndarray, grads: dict | None =
     order = np.argsort(kind, kind="stable")
     cut = np.searchsorted(kind[order], np.arange(classes + 1))
     for c in np.flatnonzero(np.diff(cut)).tolist():
+        w, b, gw, gb = p["ww"][c], p["bw"][c], 0, 0
         for a in range(cut[c], cut[c + 1], ROWS):
             at = order[a : min(a + ROWS, cut[c + 1])]
             s, word = states[at], target[at] - c * members
-            inner, d = picked(s @ p["ww"][c].T + p["bw"][c], word)
+            inner, d = picked(s @ w.T + b, word)
             got[at] += inner
             if grads is not None:
-                grads["ww"][c] += d.T @ s
-                grads["bw"][c] += d.sum(0)
-                back[at] += d @ p["ww"][c]
+                gw, gb = gw + d.T @ s, gb + d.sum(0)
+                back[at] += d @ w
+        if grads is not None:
+            grads["members"][c] = gw, gb
     return got, back
 
 
-def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Lane and first step of every text, longest first to the least filled lane; number of steps and of lanes."""
+def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lane and first step of every text, longest first to the least filled lane; the number of steps of each lane, falling.
+
+    As many lanes as the longest text leaves evenly filled; where lanes are over, the others go on without them.
+    """
     count = int(np.clip(lengths.sum() // max(int(lengths.max()), 1), 1, most))
     heap = [(0, i) for i in range(count)]
     lane, begin = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -114,12 +121,16 @@ def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int,
         at, k = heapq.heappop(heap)
         lane[i], begin[i] = k, at
         heapq.heappush(heap, (at + int(lengths[i]), k))
-    return lane, begin, max(x[0] for x in heap), count
+    steps, order = zip(*sorted(((n, k) for n, k in heap if n), key=lambda x: (-x[0], x[1])))
+    place = np.zeros(count, np.int64)
+    place[list(order)] = np.arange(len(order))
+    return place[lane], begin, np.array(steps)
 
 
-def laid_out(tokens: np.ndarray, lengths: np.ndarray, end_word: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Input word, target word (-1 where a lane is over), text and start flag by step and lane."""
-    lane, begin, steps, count = lanes(lengths, most)
+def laid_out(tokens: np.ndarray, lengths: np.ndarray, end_word: int, most: int) -> tuple[np.ndarray, ...]:
+    """Input word, target word (-1 where a lane is over), text and start flag by step and lane; the steps of each lane."""
+    lane, begin, filled = lanes(lengths, most)
+    steps, count = int(filled[0]), len(filled)
     text = np.repeat(np.arange(len(lengths)), lengths)
     first = np.cumsum(lengths) - lengths
     at = (begin[text] + np.arange(len(tokens)) - first[text]) * count + lane[text]
@@ -131,22 +142,26 @@ def laid_out(tokens: np.ndarray, lengths: np.ndarray, end_word: int, most: int)
     source = np.full_like(target, end_word)
     source[1:] = np.maximum(target[:-1], 0)
     source[start] = end_word
-    return source, target, owner.reshape(steps, count), start
+    return source, target, owner.reshape(steps, count), start, filled
 
 
 def text_scores(p: dict, tokens: np.ndarray, lengths: np.ndarray, end_word: int) -> np.ndarray:
     """Natural log probability of each text; the state runs through all windows of a text and starts afresh with the next one."""
-    source, target, owner, start = laid_out(tokens, lengths, end_word, LANES)
-    total, h = np.zeros(len(lengths)), np.zeros((target.shape[1], STATE), np.float32)
-    for a in range(0, len(target), WINDOW):
-        part = slice(a, min(a + WINDOW, len(target)))
-        states = np.empty((part.stop - a, len(h), STATE), np.float32)
+    source, target, owner, start, filled = laid_out(tokens, lengths, end_word, LANES)
+    total, h, a = np.zeros(len(lengths)), np.zeros((target.shape[1], STATE), np.float32), 0
+    while a < len(target):
+        count = int((filled > a).sum())
+        part = slice(a, min(a + max(BACK, WINDOW_TOKENS // count), len(target)))
+        h = h[:count]
+        states = np.empty((part.stop - a, count, STATE), np.float32)
         for i in range(a, part.stop):
-            h = np.where(start[i][:, None], np.float32(0), h)
-            h = states[i - a] = step(p, h, source[i])[0]
-        live = target[part] >= 0
-        got, _ = output(p, states[live], target[part][live])
-        total += np.bincount(owner[part][live], got, len(lengths))
+            h = np.where(start[i, :count, None], np.float32(0), h)
+            h = states[i - a] = step(p, h, source[i, :count])[0]
+        words = target[part, :count]
+        live = words >= 0
+        got, _ = output(p, states[live], words[live])
+        total += np.bincount(owner[part, :count][live], got, len(lengths))
+        a = part.stop
     return total
 
 
@@ -159,10 +174,11 @@ def train(p: dict, tokens: np.ndarray, lengths: np.ndarray, end_word: int, rate:
     p = {k: v.copy() for k, v in p.items()}
     m, v, k = {x: np.zeros_like(p[x]) for x in (*SHARED, "x")}, {x: np.zeros_like(p[x]) for x in (*SHARED, "x")}, 0
     squares = np.ones_like(p["bw"])
-    members = p["bw"].shape[1]
-    source, target, _, start = laid_out(tokens, lengths, end_word, LANES)
-    h = np.zeros((target.shape[1], STATE), np.float32)
-    for a in range(0, len(target), BACK):
+    sources, targets, _, starts, filled = laid_out(tokens, lengths, end_word, LANES)
+    h = np.zeros((targets.shape[1], STATE), np.float32)
+    for a in range(0, len(targets), BACK):
+        count = int((filled > a).sum())
+        source, target, start, h = sources[:, :count], targets[:, :count], starts[:, :count], h[:count]
         stop = min(a + BACK, len(target))
         kept, states = [], []
         for i in range(a, stop):
@@ -196,6 +212,7 @@ def train(p: dict, tokens: np.ndarray, lengths: np.ndarray, end_word: int, rate:
         order = np.argsort(word, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], np.diff(word[order]) != 0)))
         grads |= {"x": np.add.reduceat(inputs.reshape(len(word), -1)[order], first), "uzr": guzr, "un": gun}
+        share = min(1.0, len(learned) / FULL_WINDOW)  # a few lanes that run on alone move little
         k += 1
         for x in (*SHARED, "x"):
             at = word[order[first]] if x == "x" else ...
@@ -203,10 +220,8 @@ def train(p: dict, tokens: np.ndarray, lengths: np.ndarray, end_word: int, rate:
             mean, power = m[x][at], v[x][at]
             mean = m[x][at] = mean + np.float32(0.1) * (g - mean)
             power = v[x][at] = power + np.float32(0.01) * (g * g - power)
-            p[x][at] -= rate * (mean / (1 - 0.9**k)) / (np.sqrt(power / (1 - 0.99**k)) + 1e-8)
-        seen = np.unique(learned // members)
-        for c in seen[seen < len(p["bw"])].tolist():
-            g, b = grads["ww"][c], grads["bw"][c]
+            p[x][at] -= rate * share * (mean / (1 - 0.9**k)) / (np.sqrt(power / (1 - 0.99**k)) + 1e-8)
+        for c, (g, b) in grads["members"].items():
             squares[c] += b * b + np.einsum("ij,ij->i", g, g) / STATE
             size = np.float32(rare_rate) / np.sqrt(squares[c])
             p["bw"][c] -= size * b
@@ -315,11 +330,10 @@ def score_texts(
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("n"), "h").limit(KNOWN_WORDS).toArrow()
     common, common_n = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.float64)
-    ends = np.flatnonzero(common == END)
-    head = common[:HEAD] if len(ends) and ends[0] < HEAD or not len(common) else np.append(common[: HEAD - 1], END)
-    if not len(head):
-        head = np.array([END], np.uint64)
-    head_n = np.array([dict(zip(common.tolist(), common_n.tolist())).get(x, 0.0) for x in head.tolist()]) if len(common) else np.zeros(1)
+    if (common == END).any():
+        head, head_n = common, common_n
+    else:
+        head, head_n = np.append(common[: HEAD - 1], END), np.append(common_n[: HEAD - 1], 0.0)
     tail_mass = float(n_all - head_n.sum()) + 0.5 * (v_all - int((head_n > 0).sum()) + 1)
     by_hash, by_common = np.argsort(head), np.argsort(common)
     facts = {

@@ -52,6 +52,25 @@ def corpus():
     return list(enumerate(texts))
 
 
+def test_similar_groups_null_and_repeated_keys_bridge(spark):
+    """A and B, and B and C are similar, A and C are not; B has no key. One key on two texts joins nothing."""
+    w = [f"v{i}" for i in range(104)]
+    a, b, c = " ".join(w[:90]), " ".join(w[5:97]), " ".join(w[14:104])
+    far = sentence(random.Random(1), 50)
+    rows = [(3, a), (None, b), (2, c), (None, far), (7, far + " end"), (7, "other words stand here alone now"), (9, None), (None, None)]
+    got = sorted(map(tuple, similar_groups(items(spark, rows)).collect()), key=repr)
+    assert got == sorted([(3, 86, 2), (None, 88, 2), (2, 86, 2), (None, 46, 7), (7, 47, 7), (7, 2, 7), (9, 0, 9), (None, 0, None)], key=repr)
+
+
+def test_similar_groups_of_one_passage_with_more_or_less_around_it(spark):
+    """Sizes around the border: the small ones link with all but the largest, which are left apart without meeting."""
+    rng = random.Random(9)
+    passage = sentence(rng, 60, 10**6)
+    texts = list(enumerate(f"{passage} {sentence(rng, 1 + i % 40, 10**6)}" for i in range(160)))
+    got = {r.SKU: r.component_id for r in similar_groups(items(spark, texts)).collect()}
+    assert got == brute.similar(dict(texts))[1]
+
+
 def test_similar_groups_equal_brute_force(spark):
     texts = corpus()
     got = {r.SKU: (r.n_shingles, r.component_id) for r in similar_groups(items(spark, texts)).collect()}
