@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from .features import HORIZON, KEYS, feature_names, feature_table
 from .metrics import argmin_config, forecast_metrics
 
-PARALLEL_FITS = 4
+PARALLEL_FITS, MOST_LABELS = 4, 10_000
 
 # Declared label order of the encoded text features.
 PRICE_TIERS = ("Budget", "Mid-Range", "Premium")
@@ -30,16 +30,23 @@ LEARNERS: dict[str, Callable] = {
 
 
 class DemandFeatures(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
-    """Stateless step: text and boolean predictors to numbers, missing predictors to a marked value."""
+    """Text and boolean predictors to numbers, missing predictors to a marked value.
+
+    Text becomes its place in the declared labels of its column (``vocabulary``, saved with the step); an unknown label counts as missing.
+    A text column without declared labels raises.
+    """
 
     missing = Param(Params._dummy(), "missing", "value that stands for a missing predictor", TypeConverters.toFloat)
+    vocabulary = Param(Params._dummy(), "vocabulary", "JSON of the declared labels of each text column", TypeConverters.toString)
 
-    def __init__(self, inputCols: Sequence[str] | None = None, missing: float = -1.0):
+    def __init__(self, inputCols: Sequence[str] | None = None, missing: float = -1.0, vocabulary: Mapping[str, Sequence[str]] | None = None):
         super().__init__()
-        self._setDefault(missing=-1.0)
+        self._setDefault(missing=-1.0, vocabulary="{}")
         self._set(missing=missing)
         if inputCols is not None:
             self._set(inputCols=list(inputCols))
+        if vocabulary is not None:
+            self._set(vocabulary=json.dumps({k: list(v) for k, v in vocabulary.items()}, sort_keys=True))
 
     def get_feature_names(self) -> list[str]:
         return [f"x_{c}" for c in self.getInputCols()]
@@ -47,29 +54,51 @@ class DemandFeatures(Transformer, HasInputCols, DefaultParamsReadable, DefaultPa
     def _transform(self, dataset: DataFrame) -> DataFrame:
         fill = F.lit(self.getOrDefault(self.missing))
         types = {f.name: f.dataType.typeName() for f in dataset.schema.fields}
+        declared = {"Price_Tier": PRICE_TIERS, **json.loads(self.getOrDefault(self.vocabulary))}
         out = {}
         for c in self.getInputCols():
-            if c == "Price_Tier":
-                labels = F.array(*[F.lit(x) for x in PRICE_TIERS])
-                value = (F.array_position(labels, F.col(c)) - 1).cast("double")
-            elif types[c] == "string":
-                # A stable bucket code: categories are open-ended, so no fitted vocabulary is kept.
-                value = F.pmod(F.xxhash64(c), F.lit(1024)).cast("double")
+            if types[c] == "string":
+                if c not in declared:
+                    raise ValueError(f"no labels are declared for the text column {c}")
+                labels = F.array(*[F.lit(x) for x in declared[c]]).cast("array<string>")
+                place = F.array_position(labels, F.col(c))
+                value = F.when(place > 0, (place - 1).cast("double"))
             else:
                 value = F.col(c).cast("double")
             out[f"x_{c}"] = F.coalesce(value, fill)
         return dataset.withColumns(out)
 
 
-def model_pipeline(family: str, predictors: Sequence[str], target: str, **params) -> Pipeline:
-    encode = DemandFeatures(inputCols=list(predictors))
+def label_vocabulary(features: DataFrame, predictors: Sequence[str]) -> dict[str, list[str]]:
+    """The labels of every text predictor in order. More than ``MOST_LABELS`` in a column raise: it is no category."""
+    text = [f.name for f in features.schema.fields if f.name in set(predictors) and f.dataType.typeName() == "string" and f.name != "Price_Tier"]
+    if not text:
+        return {}
+    pairs = features.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("label")) for c in text])).alias("p")).select("p.*")
+    found = pairs.where("label IS NOT NULL").distinct().limit(MOST_LABELS * len(text) + 1).collect()
+    out = {c: sorted(r["label"] for r in found if r["column"] == c) for c in text}
+    for c, labels in out.items():
+        if len(labels) > MOST_LABELS:
+            raise ValueError(f"{c} has more than {MOST_LABELS} labels")
+    return out
+
+
+def encoder(features: DataFrame, predictors: Sequence[str]) -> DemandFeatures:
+    """The encoding step with the labels that ``features`` has; static over time, so it tells nothing of the future."""
+    return DemandFeatures(inputCols=list(predictors), vocabulary=label_vocabulary(features, predictors))
+
+
+def model_pipeline(family: str, predictors: Sequence[str], target: str, vocabulary: Mapping[str, Sequence[str]] | None = None, **params) -> Pipeline:
+    encode = DemandFeatures(inputCols=list(predictors), vocabulary=vocabulary)
     assemble = VectorAssembler(inputCols=encode.get_feature_names(), outputCol="features", handleInvalid="error")
     learner = LEARNERS[family](featuresCol="features", labelCol=target, predictionCol="raw_prediction", **params)
     return Pipeline(stages=[encode, assemble, learner])
 
 
-def fit_model(train: DataFrame, family: str, horizon: int, predictors: Sequence[str], **params) -> PipelineModel:
-    return model_pipeline(family, predictors, f"target_h{horizon}", **params).fit(train)
+def fit_model(train: DataFrame, family: str, horizon: int, predictors: Sequence[str], vocabulary: Mapping[str, Sequence[str]] | None = None, **params) -> PipelineModel:
+    if vocabulary is None:
+        vocabulary = label_vocabulary(train, predictors)
+    return model_pipeline(family, predictors, f"target_h{horizon}", vocabulary, **params).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame, family: str, horizon: int) -> DataFrame:
@@ -112,10 +141,11 @@ def backtest_models(
     """
     params = params or {}
     predictors = feature_names(features)
+    labels = label_vocabulary(features, predictors)
 
     def job(origin, h: int, family: str) -> Callable[[], DataFrame]:
         def go() -> DataFrame:
-            model = fit_model(training_rows(features, origin, h), family, h, predictors, **params.get(family, {}))
+            model = fit_model(training_rows(features, origin, h), family, h, predictors, labels, **params.get(family, {}))
             return predict(model, features.filter(F.col("forecast_origin_date") == F.to_date(F.lit(str(origin)))), family, h)
 
         return go
@@ -140,9 +170,10 @@ def direct_multi_horizon(
 ) -> dict[int, PipelineModel]:
     """One independent model per horizon, from rows whose target was known at ``cutoff``, the origin to be served."""
     predictors = feature_names(train)
+    labels = label_vocabulary(train, predictors)
 
     def fit(h: int) -> PipelineModel:
-        return fit_model(training_rows(train, cutoff, h), family, h, predictors, **params)
+        return fit_model(training_rows(train, cutoff, h), family, h, predictors, labels, **params)
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         return dict(zip(horizons, pool.map(fit, horizons)))
@@ -183,7 +214,8 @@ def retrain_best(features: DataFrame, trials: DataFrame, family: str, cutoff, ho
     """Refit each horizon with its best configuration (one row per horizon is read) on all rows known at ``cutoff``."""
     best = {r["horizon"]: json.loads(r["config"]) for r in argmin_config(trials).filter(F.col("model") == family).collect()}
     predictors = feature_names(features)
-    return {h: fit_model(training_rows(features, cutoff, h), family, h, predictors, **best[h]) for h in horizons}
+    labels = label_vocabulary(features, predictors)
+    return {h: fit_model(training_rows(features, cutoff, h), family, h, predictors, labels, **best[h]) for h in horizons}
 
 
 def hybrid_predict(

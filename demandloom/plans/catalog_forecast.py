@@ -1,11 +1,13 @@
-"""Registered queries: origins, baselines, accuracy tables, MLlib models."""
+"""Registered queries: origins, baselines, accuracy tables, models."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
-from ..operators import forecast, metrics, ml, reports
+from ..operators import forecast, linear, metrics, ml, reports
 from .context import work_dir
 from .oracle_tables import METRICS
 from .registry import query
@@ -252,34 +254,15 @@ def _(c):
     return reports.forward_trajectory(c.seasonal, c.weekly)
 
 
-# --- MLlib (row checks only: learners have no SQL form) ------------------------------------------------
-
-# Configurations of the reference's tuning grids; its leaf counts become the depth that holds as many leaves.
-_BOOSTED = {
-    "gbt_squared": (
-        (0.05, 5, 20, 0.8, 0.8), (0.04, 5, 25, 0.75, 0.75), (0.03, 4, 30, 0.7, 0.7), (0.02, 3, 40, 0.7, 0.6),
-        (0.05, 6, 1, 0.8, 0.8), (0.03, 4, 3, 0.75, 0.7), (0.03, 3, 4, 0.7, 0.65), (0.06, 5, 2, 0.85, 0.85),
-    ),
-    "gbt_absolute": (
-        (0.05, 5, 20, 0.8, 0.8), (0.03, 5, 25, 0.8, 0.8), (0.04, 5, 25, 0.75, 0.75), (0.03, 4, 30, 0.7, 0.7), (0.03, 4, 35, 0.7, 0.65),
-        (0.02, 3, 40, 0.7, 0.6), (0.02, 4, 30, 0.8, 0.7), (0.06, 5, 20, 0.85, 0.85),
-        (0.05, 6, 1, 0.8, 0.8), (0.04, 5, 2, 0.8, 0.75), (0.03, 4, 3, 0.75, 0.7), (0.03, 3, 4, 0.7, 0.65), (0.02, 3, 5, 0.7, 0.6),
-        (0.02, 4, 3, 0.8, 0.7), (0.06, 6, 2, 0.85, 0.85), (0.04, 4, 2, 0.8, 0.8),
-    ),
-}
-_FORESTS = ((15, 1, 1.0), (12, 2, 0.8), (10, 2, 0.8), (10, 3, 0.7), (8, 3, 0.7), (8, 4, 0.6), (6, 4, 0.6), (6, 5, 0.5), (5, 6, 0.5), (12, 1, 0.75))
-GRIDS = {
-    "linear": [{"regParam": 0.0}, {"regParam": 0.3}],
-    "random_forest": [{"maxDepth": d, "minInstancesPerNode": n, "featureSubsetStrategy": str(share)} for d, n, share in _FORESTS],
-    **{
-        family: [
-            {"stepSize": rate, "maxDepth": d, "minInstancesPerNode": n, "subsamplingRate": rows, "featureSubsetStrategy": str(share)}
-            for rate, d, n, rows, share in configs
-        ]
-        for family, configs in _BOOSTED.items()
-    },
-}
-FAMILIES = tuple(ml.LEARNERS)
+# --- Models ------------------------------------------------------------------------------------------
+
+#: Own grid: least squares, and ridges from 1e-4 to 1e4 in quarter decades.
+RIDGES = (0.0, *[round(10.0 ** (k / 4), 10) for k in range(-16, 17)])
+VALIDATION_ORIGINS = 4
+_ROW = ["model", "SKU", "forecast_origin_date", "horizon", "target_date", "actual", "prediction"]
+#: Origins at which a target eight weeks ahead of a row with 52 weeks of history is known, as ``ml.usable_origins`` finds them.
+_USABLE = "(SELECT forecast_origin FROM t_origins WHERE forecast_origin >= (SELECT min(week_start) FROM t_weeks) + 413)"
+_HORIZONS = "(SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS horizon)"
 
 
 def _last_origins(c, n: int) -> list:
@@ -298,6 +281,12 @@ def _saved_features(c):
     return c.spark.read.parquet(path)
 
 
+def _encoded(table):
+    """The saved features with their numeric predictors, and the names of these."""
+    step = ml.encoder(table, feat.feature_names(table))
+    return step.transform(table), step.get_feature_names()
+
+
 def _one_model(name: str, family: str) -> None:
     @query(name)
     def _(c):
@@ -308,56 +297,141 @@ def _one_model(name: str, family: str) -> None:
 _one_model("model_random_forest", "random_forest")
 _one_model("model_gbt", "gbt_squared")
 _one_model("model_gbt_absolute", "gbt_absolute")
-_one_model("model_linear", "linear")
 
 
-@query("backtest_models")
+def _linear_backtest(c, table, ridges=(0.0,), origins=None):
+    """Predictions of every usable origin, horizon and ridge, all models from one pass over the rows."""
+    rows, names = _encoded(table)
+    fits = c.stored(linear.running_linear(rows, names, _usable_origins(c, table) if origins is None else origins, ridges=ridges))
+    return linear.predict_linear(rows, names, fits)
+
+
+@query("model_linear")
 def _(c):
+    return _linear_backtest(c, _saved_features(c)).select(_ROW)
+
+
+@query(
+    "linear_residuals",
+    f"""SELECT forecast_origin AS forecast_origin_date, horizon, count(*) AS n_train, TRUE AS unbiased, TRUE AS orthogonal
+    FROM {_USABLE} AS o, {_HORIZONS} AS h, t_weekly AS w
+    WHERE w.week_start >= (SELECT min(week_start) FROM t_weeks) + 357 AND w.week_start <= o.forecast_origin - 7 * h.horizon GROUP BY 1, 2""",
+)
+def _(c):
+    """Every model's training rows end before its origin; its residuals sum to zero and depend on no predictor."""
     table = _saved_features(c)
-    return ml.backtest_models(table, _usable_origins(c, table), FAMILIES, root=f"{work_dir(c.spark)}/backtest")
+    rows, names = _encoded(table)
+    fits = c.stored(linear.running_linear(rows, names, _usable_origins(c, table)))
+    got = linear.training_residuals(rows, names, fits)
+    unbiased = F.abs("residual_sum") <= 1e-6 * F.col("n_train")
+    return got.select("forecast_origin_date", "horizon", "n_train", unbiased.alias("unbiased"), (F.col("residual_cosine") < 1e-6).alias("orthogonal"))
+
+
+def _as_model_rows(baselines):
+    return baselines.select(
+        "model", "SKU", F.col("forecast_origin").alias("forecast_origin_date"), "horizon", F.col("target_week").alias("target_date"), "actual",
+        F.greatest(F.lit(0.0), F.col("forecast")).alias("prediction"),
+    )
+
+
+def _backtest(c):
+    """The linear model and the five baselines at the same origins, stored."""
+    table = _saved_features(c)
+    origins = _usable_origins(c, table)
+    baselines = _as_model_rows(c.forecasts.where(F.col("forecast_origin").isin(origins)))
+    return c.stored(_linear_backtest(c, table, origins=origins).select(_ROW).unionByName(baselines.select(_ROW)))
+
+
+@query("backtest_models")
+def _(c):
+    return _backtest(c)
+
+
+_BACKTEST_ROWS = f"""SELECT m.model, w.SKU, o.forecast_origin AS forecast_origin_date, h.horizon, o.forecast_origin + 7 * h.horizon AS target_date,
+    CAST(a.Units_Sold AS DOUBLE) AS actual, TRUE AS sound
+    FROM {_USABLE} AS o, {_HORIZONS} AS h, (SELECT unnest(['linear', {", ".join(f"'{m}'" for m in forecast.MODELS)}]) AS model) AS m
+    JOIN t_weekly AS w ON w.week_start = o.forecast_origin LEFT JOIN t_weekly AS a ON a.SKU = w.SKU AND a.week_start = o.forecast_origin + 7 * h.horizon"""
+
+
+@query("backtest_rows", _BACKTEST_ROWS, "actual")
+def _(c):
+    """What every model must have predicted: each item, usable origin and horizon once, on its date, with its actual, never below zero."""
+    sound = F.coalesce(F.col("prediction") >= 0, F.lit(False)) & ~F.isnan("prediction")
+    return _backtest(c).select(*_ROW[:-2], F.col("actual").cast("double").alias("actual"), sound.alias("sound"))
+
+
+@query("model_scorecards")
+def _(c):
+    """Accuracy of the linear model and the baselines by summary, horizon, item and category."""
+    rows = _backtest(c).join(c.item_class.select("SKU", "Category"), "SKU", "left")
+    return metrics.evaluate_forecasts(rows, _ML_LEVELS, forecast="prediction")
+
+
+@query(
+    "scorecard_rows",
+    f"""SELECT model, horizon, count(*) AS n_forecasts, sum(actual) AS demand FROM ({_BACKTEST_ROWS}) AS b WHERE actual IS NOT NULL GROUP BY model, horizon""",
+    "demand",
+)
+def _(c):
+    rows = _backtest(c).dropna(subset=["actual"])
+    return rows.groupBy("model", "horizon").agg(F.count(F.lit(1)).alias("n_forecasts"), F.sum(F.col("actual").cast("double")).alias("demand"))
 
 
 @query("direct_multi_horizon")
 def _(c):
-    table = _saved_features(c)
-    origin = _last_origins(c, 1)[0]
-    models = ml.direct_multi_horizon(table, "linear", origin)
-    at = table.filter(F.col("forecast_origin_date") == F.lit(origin))
-    return ml.predict_multi(models, at, "linear")
+    return _linear_backtest(c, _saved_features(c), origins=_last_origins(c, 1)).select(_ROW)
+
+
+def _trials(c, table):
+    """Every ridge at the first usable origins, all from one pass; one aggregate scores all trials."""
+    preds = _linear_backtest(c, table, RIDGES, _usable_origins(c, table)[:VALIDATION_ORIGINS])
+    scored = metrics.forecast_metrics(preds, ["model", "horizon", "trial_id"], forecast="prediction")
+    config = F.array(*[F.lit(json.dumps({"ridge": r})) for r in RIDGES])
+    return c.stored(scored.withColumn("config", F.element_at(config, F.col("trial_id") + 1)))
 
 
 @query("tune_grid")
 def _(c):
-    table = _saved_features(c)
-    return ml.tune_grid(table, _usable_origins(c, table), GRIDS, range(1, feat.HORIZON + 1))
+    return _trials(c, _saved_features(c))
+
+
+@query("tuned_linear", f"SELECT 'linear' AS model, horizon, TRUE AS tuned_is_best, {len(RIDGES)} AS n_trials FROM {_HORIZONS}")
+def _(c):
+    """Per horizon the best trial of the stored ones, against least squares at the same origins."""
+    trials = _trials(c, _saved_features(c))
+    untuned = trials.where("trial_id = 0")
+    compared = metrics.tuned_vs_untuned(metrics.argmin_config(trials), untuned)
+    counts = trials.groupBy("model", "horizon").agg(F.count(F.lit(1)).cast("int").alias("n_trials"))
+    return compared.join(counts, ["model", "horizon"]).select("model", "horizon", (F.col("improvement") >= 0).alias("tuned_is_best"), "n_trials")
 
 
 @query("retrain_best")
 def _(c):
+    """Each horizon with its best ridge, fitted on all that is known at the last origin."""
     table = _saved_features(c)
-    origin = _last_origins(c, 1)[0]
-    horizons = list(range(1, feat.HORIZON + 1))
-    trials = ml.tune_grid(table, [origin], {"linear": [{"regParam": 0.0}, {"regParam": 0.3}]}, horizons)
-    models = ml.retrain_best(table, trials, "linear", origin, horizons)
-    at = table.filter(F.col("forecast_origin_date") == F.lit(origin))
-    return ml.predict_multi(models, at, "linear")
+    best = metrics.argmin_config(_trials(c, table)).select("horizon", "trial_id")
+    return _linear_backtest(c, table, RIDGES, _last_origins(c, 1)).join(best, ["horizon", "trial_id"]).select(_ROW)
+
+
+def _choice(c, before):
+    """Per horizon the model with the lowest pooled WAPE, the seasonal one if equal."""
+    scored = metrics.forecast_metrics(before, ["model", "horizon"], forecast="prediction")
+    others = [m for m in forecast.MODELS if m != "seasonal_naive"]
+    return metrics.select_architecture(scored, ["seasonal_naive", "linear", *others])
+
+
+@query("model_architecture")
+def _(c):
+    return _choice(c, _backtest(c))
 
 
 @query("hybrid_predict")
 def _(c):
-    """Each horizon gets the model with the lowest pooled WAPE at the usable origins before the last, the seasonal one if equal."""
-    table = _saved_features(c)
-    *before, origin = _usable_origins(c, table)
-    trials = ml.backtest_models(table, before, FAMILIES, root=f"{work_dir(c.spark)}/backtest")
-    names = ["model", "SKU", "forecast_origin_date", "horizon"]
-    naive = c.seasonal.filter(F.col("forecast_origin").isin(before)).withColumnRenamed("forecast_origin", "forecast_origin_date")
-    both = trials.select(*names, "actual", "prediction").unionByName(naive.select(*names, "actual", F.col("forecast").alias("prediction")))
-    scored = metrics.forecast_metrics(both, ["model", "horizon"], forecast="prediction")
-    chosen = metrics.select_architecture(scored, ["seasonal_naive", *FAMILIES]).select("horizon", "selected_model").collect()
-    choice = dict(sorted((r["horizon"], r["selected_model"]) for r in chosen))
-    models = {m: ml.direct_multi_horizon(table, m, origin, [h for h in choice if choice[h] == m]) for m in set(choice.values()) - {"seasonal_naive"}}
-    at = table.filter(F.col("forecast_origin_date") == F.lit(origin))
-    return ml.hybrid_predict(at, c.last_seasonal, models, choice)
+    """At the last usable origin each horizon is served by the model that was best at the usable origins before it."""
+    rows = _backtest(c)
+    last = rows.agg(F.max("forecast_origin_date")).scalar()
+    chosen = _choice(c, rows.where(F.col("forecast_origin_date") < last)).select("horizon", F.col("selected_model").alias("model"))
+    return rows.where(F.col("forecast_origin_date") == last).join(chosen, ["horizon", "model"]).select(_ROW)
 
 
 @query("dq_serialization_parity", "SELECT CAST((SELECT count(*) FROM t_nmaster) * 8 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS max_abs_diff", "max_abs_diff")

@@ -65,26 +65,34 @@ def test_backtest_written_by_origin_covers_usable_origins_and_all_horizons(table
 
 
 def test_registered_model_queries_ask_for_the_whole_job(spark, monkeypatch):
+    from demandloom.operators import linear
     from demandloom.plans import catalog_forecast, load_catalog
     from demandloom.plans.context import Context
 
-    sf, asked = "/root/testdata/sf0.001", {}
+    sf, asked = "/root/testdata/sf0.001", []
     c = Context(spark, sf)
     saved = c.features.cache()
     usable = ml.usable_origins(saved, [r[0] for r in c.origins.collect()])
     monkeypatch.setattr(catalog_forecast, "_saved_features", lambda c: saved)
 
     def record(features, origins, families, horizons=tuple(range(1, 9)), params=None, root=None):
-        asked[name].append((list(origins), set(families), list(horizons), params))
+        asked.append((list(origins), list(families), list(horizons), params))
         return features.limit(0)
 
     monkeypatch.setattr(ml, "backtest_models", record)
-    for name in ("model_random_forest", "model_gbt", "model_gbt_absolute", "model_linear", "backtest_models"):
-        asked[name] = []
+    for name in ("model_random_forest", "model_gbt", "model_gbt_absolute"):
         load_catalog()[name].run(spark, sf)
-        (origins, families, horizons, params), = asked[name]
-        assert origins == usable and len(usable) >= 9 and horizons == list(range(1, 9)) and params is None
-        assert families == set(ml.LEARNERS) if name == "backtest_models" else len(families) == 1
+    assert len(usable) >= 9 and [(o, len(f), h, p) for o, f, h, p in asked] == [(usable, 1, list(range(1, 9)), None)] * 3
+    real, fitted = linear.running_linear, []
+
+    def fit(rows, predictors, origins, horizons=tuple(range(1, 9)), ridges=(0.0,)):
+        fitted.append((list(origins), len(predictors), list(horizons), len(ridges)))
+        return real(rows, predictors, origins, horizons, ridges)
+
+    monkeypatch.setattr(linear, "running_linear", fit)
+    for name in ("model_linear", "tune_grid"):
+        load_catalog()[name].run(spark, sf)
+    assert fitted == [(usable, 50, list(range(1, 9)), 1), (usable[:4], 50, list(range(1, 9)), 34)]
 
 
 def test_future_perturbation_sees_a_leak_in_any_feature_at_any_origin(spark):
