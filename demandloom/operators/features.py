@@ -95,25 +95,32 @@ def rolling_stats(df: DataFrame, date: str = "week_start") -> DataFrame:
     return df.withColumns(rolling_columns(date))
 
 
-#: Periods whose decayed weights share one running sum; two whole segments further back a weight is below any double's precision.
-SEGMENT = 256
+#: Powers of ten that decayed weights of one running sum may span; a weight one whole segment back is below any double's precision.
+DECADES = 150
+
+
+def segment_length(alpha: float) -> int:
+    """Periods per running sum, so that powers of the decay stay inside the double range for any ``alpha`` in [0, 1]."""
+    decay = 1.0 - alpha
+    return max(1, int(DECADES / -math.log10(decay))) if 0 < decay < 1 else 1 << 40
 
 
 def smoothed(value: str, alpha: float, position: str, date: str = "week_start") -> Column:
     """Recursive exponential smoothing seeded with the first value, for series of any length.
 
-    The recursion unrolls to a running sum of ``a * x_k * (1-a)^(t-k)``. The sum is taken within segments of 256 periods, so
-    powers stay far inside the double range, and the two segments before bring their decayed totals along.
+    The recursion unrolls to a running sum of ``a * x_k * (1-a)^(t-k)``. The sum is taken within segments whose length follows
+    from ``alpha``, and the segment before brings its decayed total along; what is older weighs less than 1e-150.
     """
-    decay = 1.0 - alpha
-    segment = F.floor(F.col(position) / SEGMENT)
-    inside = (F.col(position) % SEGMENT).cast("double")
+    if alpha == 1:
+        return F.col(value).cast("double")
+    decay, length = 1.0 - alpha, segment_length(alpha)
+    segment = F.floor(F.col(position) / length)
+    inside = (F.col(position) % length).cast("double")
     term = F.col(value) * F.when(F.col(position) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     run = F.sum(term * F.pow(F.lit(decay), -inside)).over(W.partitionBy("SKU", segment).orderBy(date).rowsBetween(W.unboundedPreceding, 0))
-    by_segment = W.partitionBy("SKU").orderBy(segment)
-    ended = F.sum(term * F.pow(F.lit(decay), SEGMENT - 1 - inside))
-    before = [F.coalesce(ended.over(by_segment.rangeBetween(-k, -k)), F.lit(0.0)) * decay ** (SEGMENT * (k - 1)) for k in (1, 2)]
-    return F.pow(F.lit(decay), inside) * run + F.pow(F.lit(decay), inside + 1) * (before[0] + before[1])
+    ended = F.sum(term * F.pow(F.lit(decay), length - 1 - inside))
+    before = F.coalesce(ended.over(W.partitionBy("SKU").orderBy(segment).rangeBetween(-1, -1)), F.lit(0.0))
+    return F.pow(F.lit(decay), inside) * run + F.pow(F.lit(decay), inside + 1) * before
 
 
 def ewma(df: DataFrame, date: str = "week_start") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ratio
 from .ordered import prefix_scan, quantiles, row_numbers
@@ -235,35 +235,62 @@ def stock_against_demand(panel_weekly: DataFrame, snapshots_at_week: DataFrame)
     return snapshots_at_week.join(mean, "SKU").withColumn("position", F.col("Current_Stock") + F.col("On_Order"))
 
 
+def alerting_weeks(weeks: Sequence[int]) -> Column:
+    """How many of the ascending ``weeks`` alert: ``position > N x demand + safety stock`` holds up to some N and for none beyond it."""
+    base = F.col("avg_demand").isNotNull() & F.col("position").isNotNull() & F.col("Safety_Stock").isNotNull()
+    alerts = [(F.col("position") > n * F.col("avg_demand") + F.col("Safety_Stock")).cast("int") for n in weeks]
+    return F.when(base, sum(alerts[1:], alerts[0]))
+
+
+def by_week(weeks: Sequence[int]) -> Column:
+    """One row per N with its place ``i``; for counted rows only."""
+    return F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("n_weeks")) for i, n in enumerate(weeks)]))
+
+
 def overstock_threshold_sweep(rows: DataFrame, master: DataFrame, weeks: Sequence[int] = SWEEP_WEEKS) -> DataFrame:
-    """Alert rate of ``position > N x demand + safety stock`` for every N: overall, by category, by demand quintile."""
+    """Alert rate of ``position > N x demand + safety stock`` for every N: overall, by category, by demand quintile.
+
+    Each row is counted once, by its number of alerting N; sums over all larger numbers give every N.
+    """
+    weeks = sorted(weeks)
     per_item = rows.select("SKU", "avg_demand").distinct()
     fifths = item_quintiles(per_item, "avg_demand").select("SKU", "quintile")
-    tagged = rows.join(fifths, "SKU").join(master.select("SKU", "Category"), "SKU", "left")
-    swept = tagged.withColumn("n_weeks", F.explode(F.array(*[F.lit(n) for n in weeks])))
-    alert = F.col("position") > F.col("n_weeks") * F.col("avg_demand") + F.col("Safety_Stock")
-    excess = F.col("position") - (F.col("n_weeks") * F.col("avg_demand") + F.col("Safety_Stock"))
-    flagged = swept.withColumn("alert", alert).withColumn("excess", F.when(alert, excess))
+    tagged = rows.join(fifths, "SKU").join(master.select("SKU", "Category"), "SKU", "left").withColumn("k", alerting_weeks(weeks))
     level = (
         F.when(F.grouping("Category") == 0, F.concat(F.lit("category:"), F.col("Category")))
         .when(F.grouping("quintile") == 0, F.concat(F.lit("quintile:"), F.col("quintile").cast("string")))
         .otherwise("all")
     )
-    n = F.col("n_weeks")
-    return flagged.groupingSets([[n], [n, F.col("Category")], [n, F.col("quintile")]], n, F.col("Category"), F.col("quintile")).agg(
-        level.alias("level"), F.count(F.lit(1)).alias("n_rows"), (F.count_if("alert") / F.count(F.lit(1)) * 100).alias("alert_rate_pct"),
-        F.avg("excess").alias("mean_excess_units"),
-    ).select("n_weeks", "level", "n_rows", "alert_rate_pct", "mean_excess_units")
+    k = F.col("k")
+    above = (F.col("position") - F.col("Safety_Stock")).cast("double")
+    counted = tagged.groupingSets([[k], [k, F.col("Category")], [k, F.col("quintile")]], k, F.col("Category"), F.col("quintile")).agg(
+        level.alias("level"), F.count(F.lit(1)).alias("n"), F.sum(above).alias("above"), F.sum(F.col("avg_demand")).alias("demand"),
+    )
+    alert = k > F.col("i")
+    alerts = F.sum(F.when(alert, F.col("n")).otherwise(0))
+    excess = F.sum(F.when(alert, F.col("above") - F.col("n_weeks") * F.col("demand")))
+    return counted.select("level", "k", "n", "above", "demand", by_week(weeks)).groupBy("n_weeks", "level").agg(
+        F.sum("n").alias("n_rows"), (alerts / F.sum("n") * 100).alias("alert_rate_pct"), F.try_divide(excess, alerts).alias("mean_excess_units"),
+    )
 
 
 def overstock_sweep_items(rows: DataFrame, weeks: Sequence[int] = SWEEP_WEEKS) -> DataFrame:
-    """For every N: items with any and with only alerts, and the exact median excess of alerted rows."""
-    swept = rows.withColumn("n_weeks", F.explode(F.array(*[F.lit(n) for n in weeks])))
+    """For every N: items with any and with only alerts, and the exact median excess of alerted rows.
+
+    An item alerts somewhere if the largest number of alerting N among its rows exceeds N's place, and everywhere if the smallest does.
+    """
+    weeks = sorted(weeks)
+    placed = rows.withColumn("k", alerting_weeks(weeks))
+    per_item = placed.groupBy("SKU").agg(F.max("k").alias("most"), F.min("k").alias("least")).groupBy("most", "least").agg(F.count(F.lit(1)).alias("n"))
+
+    def total(column: str) -> Column:
+        return F.sum(F.when(F.col(column) > F.col("i"), F.col("n")).otherwise(0))
+
+    counts = per_item.select("most", "least", "n", by_week(weeks)).groupBy("n_weeks").agg(
+        total("most").alias("skus_with_any_alert"), total("least").alias("skus_with_all_alerts"))
+    alerted = placed.where("k > 0").withColumn("n_weeks", F.explode(F.slice(F.array(*map(F.lit, weeks)), F.lit(1), F.col("k"))))
     excess = F.col("position") - (F.col("n_weeks") * F.col("avg_demand") + F.col("Safety_Stock"))
-    swept = swept.withColumn("excess", excess)
-    per_item = swept.groupBy("n_weeks", "SKU").agg(F.bool_or(F.col("excess") > 0).alias("any"), F.bool_and(F.col("excess") > 0).alias("every"))
-    counts = per_item.groupBy("n_weeks").agg(F.count_if("any").alias("skus_with_any_alert"), F.count_if("every").alias("skus_with_all_alerts"))
-    median = quantiles(swept.filter(F.col("excess") > 0), "excess", {"median_excess_units": 0.5}, ["n_weeks"])
+    median = quantiles(alerted.select("n_weeks", excess.alias("excess")), "excess", {"median_excess_units": 0.5}, ["n_weeks"])
     return counts.join(median, "n_weeks", "left")
 
 
