@@ -72,20 +72,18 @@ def _logs(counts: dict[str, np.ndarray], n: int) -> np.ndarray:
     return np.log((table + 0.1) / (table.sum(0) + 0.1 * (len(table) + 1)))
 
 
-def fit_language_model(records: DataFrame, text: str, language: str, labelled_rows: int = 12_000, least: int = 2) -> LanguageModel | None:
+def fit_language_model(records: DataFrame, text: str, language: str, labelled_rows: int = 1_500) -> LanguageModel | None:
     """Learn word and n-gram frequencies from labelled texts; None without any.
 
-    The fit reads a bounded sample: about ``labelled_rows`` of the rows whose label and text are not null, chosen by a hash of
-    the text (all of them if there are fewer), and keeps words seen ``least`` times in it.
+    The fit reads a bounded sample: about ``labelled_rows`` rows of every language, chosen by a hash of the text (all of them
+    if there are fewer), so a rare language is learned as well as a common one. Every word of it counts, at any size.
     """
     rows = records.select(F.col(text).alias("t"), F.col(language).alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
-    n = rows.count()
-    if not n:
-        return None
-    share = min(1 << 20, -(-labelled_rows * (1 << 20) // n))
-    rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share)
+    spread = 1 << 30
+    shares = rows.groupBy("l").agg(F.least(F.lit(spread), F.ceil(F.lit(labelled_rows * spread) / F.count(F.lit(1)))).alias("share"))
+    rows = rows.join(shares, "l").where(F.pmod(F.xxhash64("t"), F.lit(spread)) < F.col("share"))
     words = rows.select("l", F.explode(F.split(F.lower("t"), "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).alias("w")).where("w <> ''")
-    found = words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (least if n > 1000 else 1)).toPandas()
+    found = words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")).toPandas()
     if not len(found):
         return None
     found = found.sort_values(["l", "w"])
@@ -110,7 +108,7 @@ def fit_language_model(records: DataFrame, text: str, language: str, labelled_ro
 
 
 def identify_language(
-    records: DataFrame, training: DataFrame, key: str = "SKU", text: str = "Product_Name", language: str = "language", labelled_rows: int = 12_000,
+    records: DataFrame, training: DataFrame, key: str = "SKU", text: str = "Product_Name", language: str = "language", labelled_rows: int = 1_500,
 ) -> DataFrame:
     """Predicted language of every item text: (key, ``lang_pred``, ``score``).
 
@@ -119,7 +117,7 @@ def identify_language(
     of its longest known character n-grams (length 5 down to 1, word borders included). The score is the posterior probability
     of the winner under equal priors. A null text, a text without a letter, or training without labels gives ``und`` and 0.
     Ties go to the first language by name. Rows with a null key and repeated rows are predicted like any other. Other columns
-    are dropped. The model holds what a sample of about ``labelled_rows`` labelled rows shows, so its size is bounded.
+    are dropped. The model holds what a sample of about ``labelled_rows`` labelled rows of each language shows, so its size is bounded.
     """
     schema = T.StructType(
         [T.StructField(key, records.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
