@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ordered import row_numbers
 from ..sources.checkpoints import work_dir
-from .arrays import slices
+from .arrays import slices, text_arrays
 from .components import stored
 
 # Fixed value: what lies between words once A-Z are lower case.
@@ -38,7 +38,9 @@ def crc_remainders(words: list[bytes], grams: np.ndarray, buckets: int) -> np.nd
 
 def text_features(column: pa.Array, longest: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row and bucket of every run of 1 to ``longest`` words, row after row within a length; and the words of each row."""
-    lowered = pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    # Built anew from its bytes: kernels for text misread columns that are slices of longer ones.
+    data, bounds = text_arrays(column)
+    lowered = pc.ascii_lower(pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(bounds), pa.py_buffer(data)]))
     parts = pc.split_pattern_regex(lowered, BETWEEN)
     flat, row = pc.list_flatten(parts), pc.list_parent_indices(parts)
     full = pc.not_equal(flat, "")

@@ -13,6 +13,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
+from demandloom.llm import resample  # noqa: E402
 from demandloom.llm.resample import resample_items  # noqa: E402
 
 
@@ -43,7 +44,7 @@ def expected(texts, target, longest, buckets, percent, least):
 
 def texts_and_target():
     rng = random.Random(3)
-    word = lambda: rng.choice(["Alpha", "beta", "GAMMA", "déjà", "Ünï", "x1", "0", "end", "中文"]) + rng.choice(["", "", str(rng.randrange(9))])
+    word = lambda: rng.choice(["Alpha", "beta", "GAMMA", "déjà", "Ünï", "Èvi", "x1", "0", "end", "中文"]) + rng.choice(["", "", str(rng.randrange(9))])
     text = lambda n: "".join(word() + rng.choice([" ", ", ", "\n", "--", "\x00", "\x7f"]) for _ in range(n))
     texts = [(k, text(rng.randrange(1, 40))) for k in range(120)]
     texts += [(200, None), (201, ""), (202, " ,.\n"), (203, "word"), (204, text(30_000)), (None, text(25)), (None, None)]
@@ -51,8 +52,9 @@ def texts_and_target():
     return texts, [text(12), None, "", text(50)]
 
 
-@pytest.mark.parametrize("longest", [1, 2, 3])
-def test_equals_brute_force(spark, longest):
+@pytest.mark.parametrize("longest, slice_bytes", [(1, 4 << 20), (2, 4 << 20), (3, 4 << 20), (2, 300)])
+def test_equals_brute_force(spark, monkeypatch, longest, slice_bytes):
+    monkeypatch.setattr(resample, "SLICE_BYTES", slice_bytes)
     texts, target = texts_and_target()
     rows = [(k, t, 9, "x", 1.5) for k, t in texts]
     items = spark.createDataFrame(rows, "SKU long, Product_Name string, weight int, rank string, score double").repartition(5)
