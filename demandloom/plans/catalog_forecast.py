@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
-from ..operators import forecast, linear, metrics, ml, reports
+from ..operators import forecast, linear, metrics, ml, reports, trees
 from .context import work_dir
 from .oracle_tables import METRICS
 from .registry import query
@@ -287,11 +287,19 @@ def _encoded(table):
     return step.transform(table), step.get_feature_names()
 
 
+def _tree_backtest(c, family: str, table=None, origins=None):
+    """Predictions of every usable origin and horizon; all trees of the family are grown side by side."""
+    table = _saved_features(c) if table is None else table
+    rows, names = _encoded(table)
+    growth = trees.FAMILIES[family]
+    found, borders = trees.grow_trees(rows, names, _usable_origins(c, table) if origins is None else origins, growth)
+    return trees.predict_trees(rows, names, found, borders, growth, family)
+
+
 def _one_model(name: str, family: str) -> None:
     @query(name)
     def _(c):
-        table = _saved_features(c)
-        return ml.backtest_models(table, _usable_origins(c, table), [family], root=f"{work_dir(c.spark)}/backtest")
+        return _tree_backtest(c, family).select(_ROW)
 
 
 _one_model("model_random_forest", "random_forest")
