@@ -195,6 +195,19 @@ def set_splits(tree: Tree, nodes: np.ndarray, columns: np.ndarray, at: np.ndarra
     tree.border[nodes[split]] = border[split]
 
 
+def start_values(first: DataFrame, rows: DataFrame) -> DataFrame:
+    """Leaf of the first tree of each boosted model beside its number of training rows: (``forecast_origin_date``, ``horizon``, ``n_train``, ``mean_target``)."""
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = pa.array([float(np.frombuffer(v)[0]) for v in batch.column("value").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("origin"), batch.column("horizon"), value], names=["origin", "horizon", "mean_target"])
+
+    weeks = rows.where("lag_52 IS NOT NULL").groupBy(day_of().alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    models = first.mapInArrow(opened, "origin int, horizon int, mean_target double")
+    counted = models.join(weeks, F.expr("day <= origin - 7 * horizon")).groupBy("origin", "horizon", "mean_target").agg(F.sum("n").alias("n_train"))
+    return counted.select(F.date_add(F.lit("1970-01-01").cast("date"), F.col("origin")).alias(DATE), "horizon", "n_train", "mean_target")
+
+
 def day_of(column: str = DATE):
     return F.datediff(F.col(column), F.lit("1970-01-01").cast("date"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -302,6 +303,22 @@ def _one_model(name: str, family: str) -> None:
         return _tree_backtest(c, family).select(_ROW)
 
 
+@query(
+    "tree_start",
+    f"""SELECT forecast_origin AS forecast_origin_date, horizon, count(*) AS n_train, avg(CAST(t.Units_Sold AS DOUBLE)) AS mean_target
+    FROM {_USABLE} AS o, {_HORIZONS} AS h, t_weekly AS w, t_weekly AS t
+    WHERE w.week_start >= (SELECT min(week_start) FROM t_weeks) + 357 AND w.week_start <= o.forecast_origin - 7 * h.horizon
+    AND t.SKU = w.SKU AND t.week_start = w.week_start + 7 * h.horizon GROUP BY 1, 2""",
+    "mean_target",
+)
+def _(c):
+    """Boosting starts at the mean of the targets known at the origin: the leaf of every model's first tree."""
+    table = _saved_features(c)
+    rows, names = _encoded(table)
+    found, _ = trees.grow_trees(rows, names, _usable_origins(c, table), replace(trees.FAMILIES["gbt_squared"], rounds=2, depth=1))
+    return trees.start_values(found.where("round = 0"), rows)
+
+
 _one_model("model_random_forest", "random_forest")
 _one_model("model_gbt", "gbt_squared")
 _one_model("model_gbt_absolute", "gbt_absolute")
@@ -355,17 +372,30 @@ def _(c):
     return _backtest(c)
 
 
-_BACKTEST_ROWS = f"""SELECT m.model, w.SKU, o.forecast_origin AS forecast_origin_date, h.horizon, o.forecast_origin + 7 * h.horizon AS target_date,
+def _model_rows(models) -> str:
+    return f"""SELECT m.model, w.SKU, o.forecast_origin AS forecast_origin_date, h.horizon, o.forecast_origin + 7 * h.horizon AS target_date,
     CAST(a.Units_Sold AS DOUBLE) AS actual, TRUE AS sound
-    FROM {_USABLE} AS o, {_HORIZONS} AS h, (SELECT unnest(['linear', {", ".join(f"'{m}'" for m in forecast.MODELS)}]) AS model) AS m
+    FROM {_USABLE} AS o, {_HORIZONS} AS h, (SELECT unnest([{", ".join(f"'{m}'" for m in models)}]) AS model) AS m
     JOIN t_weekly AS w ON w.week_start = o.forecast_origin LEFT JOIN t_weekly AS a ON a.SKU = w.SKU AND a.week_start = o.forecast_origin + 7 * h.horizon"""
 
 
+_BACKTEST_ROWS = _model_rows(["linear", *forecast.MODELS])
+
+
+def _sound_rows(rows):
+    sound = F.coalesce(F.col("prediction") >= 0, F.lit(False)) & ~F.isnan("prediction")
+    return rows.select(*_ROW[:-2], F.col("actual").cast("double").alias("actual"), sound.alias("sound"))
+
+
+@query("tree_rows", _model_rows(["gbt_squared"]), "actual")
+def _(c):
+    return _sound_rows(_tree_backtest(c, "gbt_squared"))
+
+
 @query("backtest_rows", _BACKTEST_ROWS, "actual")
 def _(c):
     """What every model must have predicted: each item, usable origin and horizon once, on its date, with its actual, never below zero."""
-    sound = F.coalesce(F.col("prediction") >= 0, F.lit(False)) & ~F.isnan("prediction")
-    return _backtest(c).select(*_ROW[:-2], F.col("actual").cast("double").alias("actual"), sound.alias("sound"))
+    return _sound_rows(_backtest(c))
 
 
 @query("model_scorecards")

@@ -65,7 +65,7 @@ def test_backtest_written_by_origin_covers_usable_origins_and_all_horizons(table
 
 
 def test_registered_model_queries_ask_for_the_whole_job(spark, monkeypatch):
-    from demandloom.operators import linear
+    from demandloom.operators import linear, trees
     from demandloom.plans import catalog_forecast, load_catalog
     from demandloom.plans.context import Context
 
@@ -75,14 +75,17 @@ def test_registered_model_queries_ask_for_the_whole_job(spark, monkeypatch):
     usable = ml.usable_origins(saved, [r[0] for r in c.origins.collect()])
     monkeypatch.setattr(catalog_forecast, "_saved_features", lambda c: saved)
 
-    def record(features, origins, families, horizons=tuple(range(1, 9)), params=None, root=None):
-        asked.append((list(origins), list(families), list(horizons), params))
-        return features.limit(0)
+    def record(rows, predictors, origins, growth, horizons=tuple(range(1, 9)), in_task=trees.IN_TASK):
+        asked.append((list(origins), len(predictors), list(horizons), growth))
+        return grown(rows, predictors, [], growth)
 
-    monkeypatch.setattr(ml, "backtest_models", record)
+    grown = trees.grow_trees
+    monkeypatch.setattr(trees, "grow_trees", record)
     for name in ("model_random_forest", "model_gbt", "model_gbt_absolute"):
         load_catalog()[name].run(spark, sf)
-    assert len(usable) >= 9 and [(o, len(f), h, p) for o, f, h, p in asked] == [(usable, 1, list(range(1, 9)), None)] * 3
+    families = [trees.FAMILIES[f] for f in ("random_forest", "gbt_squared", "gbt_absolute")]
+    assert len(usable) >= 9 and asked == [(usable, 50, list(range(1, 9)), g) for g in families]
+    assert all(g.rounds * g.bags == 100 for g in families)
     real, fitted = linear.running_linear, []
 
     def fit(rows, predictors, origins, horizons=tuple(range(1, 9)), ridges=(0.0,)):
