@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .risk import HORIZON, LEAD_WEEKS, THRESHOLD_STATUS, fill_template, one_decimal, quoted, whole
+from .risk import HORIZON, LEAD_WEEKS, MONEY, ON_ORDER_POLICY, THRESHOLD_STATUS, THRESHOLD_WEEKS, fill_template, one_decimal, quoted, whole
 
 # Codes, titles, priorities and thresholds of the published recommendation outputs.
 PRIORITIES = {
@@ -172,6 +172,20 @@ def recommendations(risk: DataFrame, master: DataFrame, status: str = THRESHOLD_
     )
 
 
+def govern(recs: DataFrame, status: str = "POLICY_RATIFIED") -> DataFrame:
+    """Recommendations under the ratified policies: no monetary value leaves, valuation and arrival times stay unconfirmed.
+
+    Valuation columns become NULL where they occur; another stock policy or threshold than the ratified ones raises.
+    """
+    ratified = F.col("on_order_policy").eqNullSafe(ON_ORDER_POLICY) & F.col("overstock_threshold_weeks").eqNullSafe(THRESHOLD_WEEKS)
+    policy = F.when(ratified, F.col("on_order_policy")).otherwise(F.raise_error(F.lit("recommendation under a policy that is not ratified")))
+    return recs.withColumns({
+        **{m: F.lit(None).cast("double") for m in MONEY if m in recs.columns},
+        "on_order_policy": policy, "overstock_threshold_status": F.lit(status), "valuation_basis_confirmed": F.lit(False),
+        "arrival_timing_confirmed": F.lit(False), "monetary_valuation_blocked": F.lit(True),
+    })
+
+
 def value_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of each value of each column, from one expanded aggregate."""
     pairs = F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).cast("string").alias("value")) for x in columns])

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import ratio
+from .features import HORIZON
 
 
 def metric_columns(actual: str = "actual", forecast: str = "forecast") -> list[Column]:
@@ -118,6 +119,26 @@ def select_architecture(horizon_metrics: DataFrame, priority: Sequence[str], ben
     )
 
 
+def architecture_at(forecasts: DataFrame, origin, priority: Sequence[str], benchmark: str = "seasonal_naive", horizon: int = HORIZON) -> DataFrame:
+    """The model that serves each horizon at ``origin``, chosen by what was known then: earlier origins, target weeks up to it.
+
+    A horizon that no earlier origin can judge is served by the benchmark, and ``selection_reason`` says so. ``version`` is a digest of the whole map.
+    """
+    at = F.lit(origin).cast("date")
+    known = forecasts.where((F.col("forecast_origin") < at) & (F.col("target_week") <= at))
+    chosen = select_architecture(forecast_metrics(known, ["model", "horizon"]), priority, benchmark)
+    every = forecasts.sparkSession.range(1, horizon + 1, numPartitions=1).select(F.col("id").cast("int").alias("horizon"))
+    served = every.join(chosen, "horizon", "left").withColumns({
+        "selected_model": F.coalesce("selected_model", F.lit(benchmark)),
+        "selection_reason": F.coalesce("selection_reason", F.lit("no earlier origin")),
+        "forecast_origin": at,
+    })
+    # One row per horizon reaches this window.
+    entries = F.sort_array(F.collect_list(F.struct("horizon", "selected_model")).over(W.partitionBy("forecast_origin")))
+    text = F.concat_ws(",", F.transform(entries, lambda e: F.concat_ws(":", e["horizon"].cast("string"), e["selected_model"])))
+    return served.withColumn("version", F.substring(F.sha2(text, 256), 1, 12))
+
+
 def argmin_config(trials: DataFrame) -> DataFrame:
     """Best trial per (model, horizon); the earliest trial wins ties."""
     return trials.groupBy("model", "horizon").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decide, reports, risk
+from ..operators.forecast import MODELS
 from . import pipeline
 from .context import work_dir
 from .registry import query
@@ -160,17 +161,61 @@ def _(c):
     )
 
 
-@query("production_run", "SELECT * REPLACE ('POLICY_RATIFIED' AS overstock_threshold_status) FROM t_last", _REC_FLOATS)
+def _baseline_run(c):
+    """The run with the five baselines as candidates, whose every value has an SQL form."""
+    return pipeline.production_run(c, work_dir(c.spark), candidates=MODELS)
+
+
+@query("production_run", "SELECT * REPLACE ('POLICY_RATIFIED' AS overstock_threshold_status) FROM t_hlast", _REC_FLOATS)
 def _(c):
-    return pipeline.production_run(c, work_dir(c.spark)).recommendations
+    return _baseline_run(c).recommendations
+
+
+@query(
+    "production_architecture",
+    "SELECT horizon, selected_model, validation_micro_wape, benchmark_wape FROM t_archat",
+    "validation_micro_wape benchmark_wape",
+)
+def _(c):
+    return _baseline_run(c).architecture.select("horizon", "selected_model", "validation_micro_wape", "benchmark_wape")
+
+
+_LAST = "(SELECT max(forecast_origin) FROM t_origins)"
 
 
 @query(
     "production_manifest",
-    "SELECT 'forecasts' AS stage, count(*) * 8 AS n_rows FROM t_nmaster UNION ALL SELECT 'risk', count(*) FROM t_nmaster UNION ALL SELECT 'recommendations', count(*) FROM t_nmaster",
+    f"""SELECT 'sales' AS stage, count(*) AS n_rows FROM t_sales UNION ALL SELECT 'master', count(*) FROM t_master
+    UNION ALL SELECT 'inventory', count(*) FROM t_inventory
+    UNION ALL SELECT 'quarantine', count(*) FROM t_quarantine WHERE "Date" = (SELECT max("Snapshot_Date") FROM t_inventory WHERE "Snapshot_Date" <= {_LAST})
+    UNION ALL SELECT 'candidates', count(*) FROM t_fc WHERE forecast_origin <= {_LAST} UNION ALL SELECT 'architecture', 8
+    UNION ALL SELECT s.stage, count(*) * s.each FROM t_master, (VALUES ('forecasts', 8), ('risk', 1), ('recommendations', 1), ('governed', 1), ('report', 1)) AS s(stage, each)
+    GROUP BY s.stage, s.each""",
+)
+def _(c):
+    return _baseline_run(c).manifest.where("stage <> 'checks'").select("stage", "n_rows")
+
+
+@query("production_hybrid")
+def _(c):
+    """The run with the trained linear models among the candidates."""
+    return pipeline.production_run(c, work_dir(c.spark)).recommendations
+
+
+@query(
+    "production_hybrid_rows",
+    f"""SELECT m.SKU, h.horizon, o.forecast_origin, o.forecast_origin + 7 * h.horizon AS target_week, CAST(a.Units_Sold AS DOUBLE) AS actual, TRUE AS sound
+    FROM t_nmaster AS m, (SELECT {_LAST} AS forecast_origin) AS o, (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS horizon) AS h
+    LEFT JOIN t_weekly AS a ON a.SKU = m.SKU AND a.week_start = o.forecast_origin + 7 * h.horizon""",
+    "actual",
 )
 def _(c):
-    return pipeline.production_run(c, work_dir(c.spark)).manifest
+    """What that run must have forecast: each item and horizon once, by the model of its horizon, never below zero."""
+    run = pipeline.production_run(c, work_dir(c.spark))
+    chosen = run.architecture.select("horizon", "selected_model")
+    sound = (F.col("forecast") >= 0) & ~F.isnan("forecast") & (F.col("model") == F.col("selected_model"))
+    rows = run.forecasts.join(chosen, "horizon")
+    return rows.select("SKU", "horizon", "forecast_origin", "target_week", "actual", F.coalesce(sound, F.lit(False)).alias("sound"))
 
 
 @query(

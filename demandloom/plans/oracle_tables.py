@@ -306,6 +306,20 @@ FROM t_qty q JOIN t_nmaster m ON q.SKU = m.SKU"""
 
 TABLES["t_last"] = "SELECT * FROM t_recs WHERE origin_date = (SELECT max(origin_date) FROM t_recs)"
 
+# The run that chooses among the baselines: the same chain of tables over the chosen forecasts of the last origin.
+TABLES["t_archat"] = f"""
+SELECT horizon, min_by(model, {{'w': WAPE, 'r': list_position(['seasonal_naive', 'naive', 'ma4', 'ma8', 'ses'], model)}}) AS selected_model,
+  min(WAPE) AS validation_micro_wape, max(WAPE) FILTER (model = 'seasonal_naive') AS benchmark_wape
+FROM (SELECT model, horizon, {METRICS} FROM t_fc, (SELECT max(forecast_origin) AS o FROM t_origins)
+  WHERE actual IS NOT NULL AND forecast_origin < o AND target_week <= o GROUP BY 1, 2) GROUP BY horizon"""
+TABLES["t_hyb"] = """
+SELECT f.* FROM t_fc f JOIN t_archat a ON f.horizon = a.horizon AND f.model = a.selected_model
+WHERE forecast_origin = (SELECT max(forecast_origin) FROM t_origins)"""
+_CHAIN = {"t_sn": "t_hyb", "t_pos": "t_hpos", "t_score": "t_hscore", "t_risk": "t_hrisk", "t_qty": "t_hqty", "t_recs": "t_hrecs"}
+for _old, _new in list(_CHAIN.items())[1:]:
+    TABLES[_new] = re.sub(r"\bt_[a-z]+\b", lambda m: _CHAIN.get(m.group(), m.group()), TABLES[_old])
+TABLES["t_hlast"] = "SELECT * FROM t_hrecs WHERE origin_date = (SELECT max(origin_date) FROM t_hrecs)"
+
 TABLES["t_snapdemand"] = """
 SELECT a."Date" AS Snapshot_Date, a.SKU, a.Current_Stock, a.On_Order, a.Lead_Time_Days, a.Safety_Stock, a.Reorder_Point, a.Inventory_Value,
   d.avg_demand, a.Current_Stock + a.On_Order AS "position"
