@@ -82,6 +82,39 @@ def prefix_scan(
     return joined.drop("_range", *[f"_c_{out}" for out in measures])
 
 
+def segment_scan(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str, ranges: int = LEAST_RANGES) -> DataFrame:
+    """Add ``_upto``, the running sum of ``weight`` along ``order`` inside each group of ``by``, and ``_size``, the group's total.
+
+    ``df`` is checkpointed and unique on ``by`` and ``order``. The order by group and value is cut into ranges, so a group of any size is the
+    work of many tasks and many small groups are the work of one. Only the first and the last group of a range can go on in
+    another one; their totals, two rows per range, are all that is handed over. NULL is a group of its own.
+    """
+    by = list(by)
+    ranged = assign_ranges(df, [*by, *order], max(ranges, df.count() // ROWS_PER_RANGE))
+    # Groups inside a range are read where the range is: no exchange by group.
+    part = W.partitionBy("_range", *by)
+    local = ranged.withColumns({
+        "_upto": F.sum(weight).over(part.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)), "_size": F.sum(weight).over(part),
+    })
+    totals = ranged.groupBy("_range", *by).agg(F.sum(weight).alias("_t"))
+    cell = F.struct(*by, "_t")
+    # At most two rows per range from here on.
+    edges = totals.groupBy("_range").agg(F.array_distinct(F.array(F.min(cell), F.max(cell))).alias("_e")).select("_range", F.inline("_e"))
+    along = W.partitionBy(*by).orderBy("_range")
+    carried = edges.select(
+        F.col("_range").alias("_er"), *[F.col(b).alias(f"_e{i}") for i, b in enumerate(by)],
+        F.coalesce(F.sum("_t").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_t").over(W.partitionBy(*by)).alias("_all"),
+    )
+    same = F.col("_range") == F.col("_er")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_e{i}"))
+    joined = local.join(F.broadcast(carried), same, "left")
+    return joined.withColumns({
+        "_upto": F.col("_upto") + F.coalesce("_before", F.lit(0)), "_size": F.coalesce("_all", "_size"),
+    }).drop("_range", "_er", "_before", "_all", *[f"_e{i}" for i in range(len(by))])
+
+
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
     """Global one-based position along ``order`` (unique columns, ascending)."""
     return prefix_scan(df.withColumn("_one", F.lit(1).cast("bigint")), order, {name: ("sum", "_one")}).drop("_one")
@@ -121,7 +154,7 @@ def quantiles(
     ``counted`` says that ``df`` is already checkpointed with one row per value.
 
     Equal values collapse to one counted row, running counts are scanned range by range, and every
-    quantile is then read with a plain aggregate, so no task holds a whole group.
+    quantile is then read with a plain aggregate, so no task holds a whole group. A NULL group has a row of its own.
     """
     by = list(by)
     value = F.col(column).cast("double")
@@ -129,16 +162,12 @@ def quantiles(
     counts = rows.filter(F.col("_v").isNotNull())
     if not counted:
         counts = cut_lineage(counts.groupBy(*by, "_v").agg(F.sum("_n").alias("_n")))
-    scanned = prefix_scan(counts, [*by, "_v"], {"_upto": ("sum", "_n")}, materialised=True)
     if by:
-        bounds = scanned.groupBy(*by).agg(
-            F.sum("_n").alias("_size"), F.min(F.col("_upto") - F.col("_n")).alias("_base")
-        )
-        scanned = scanned.join(bounds, by)
+        scanned = segment_scan(counts, by, ["_v"], "_n")
     else:
         total = counts.agg(F.sum("_n")).scalar()
-        scanned = scanned.withColumn("_size", total).withColumn("_base", F.lit(0).cast("bigint"))
-    position = F.col("_upto") - F.col("_base")
+        scanned = prefix_scan(counts, ["_v"], {"_upto": ("sum", "_n")}, materialised=True).withColumn("_size", total)
+    position = F.col("_upto")
     picks = []
     for name, p in probabilities.items():
         spot = (F.col("_size") - 1) * F.lit(float(p))

@@ -9,6 +9,7 @@ from demandloom.operators import ordered
 @pytest.fixture(autouse=True)
 def many_ranges(monkeypatch):
     monkeypatch.setattr(ordered.prefix_scan, "__defaults__", (16, False))
+    monkeypatch.setattr(ordered.segment_scan, "__defaults__", (16,))
 
 
 def frame(spark, rows, schema):
@@ -41,6 +42,46 @@ def test_quantiles_match_linear_interpolation_with_a_hot_value(spark):
             assert r[name] == pytest.approx(np.quantile(mine, p), abs=1e-9)
 
 
+def grouped(spark, n, groups):
+    """Unique values per group: one group with nearly all of them, small ones on both sides of it, one of NULL."""
+    hot = [("m", float(v), 1 + v % 3) for v in range(n)]
+    small = [(g, float(v), 1 + v % 2) for i, g in enumerate(groups) for v in range(1 + i % 4)]
+    return hot + small, frame(spark, hot + small, "g string, v double, n bigint")
+
+
+def test_a_segment_scan_restarts_at_every_group(spark):
+    rows, df = grouped(spark, 2000, [None, *[f"a{i:02d}" for i in range(30)], *[f"z{i:02d}" for i in range(30)]])
+    want, sums = {}, {}
+    for g, v, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        sums[g] = sums.get(g, 0) + n
+        want[g, v] = (sums[g], None)
+    got = {(r["g"], r["v"]): (r["_upto"], r["_size"]) for r in ordered.segment_scan(df, ["g"], ["v"], "n").collect()}
+    assert got == {k: (upto, sums[k[0]]) for k, (upto, _) in want.items()}
+
+
+def test_a_segment_scan_of_one_group_of_no_rows_and_of_single_rows(spark):
+    for rows in ([], [("m", float(v), 2) for v in range(50)], [(f"g{i}", 1.0, 3) for i in range(50)]):
+        df = frame(spark, rows, "g string, v double, n bigint")
+        got = sorted((r["g"], r["v"], r["_upto"], r["_size"]) for r in ordered.segment_scan(df, ["g"], ["v"], "n").collect())
+        size = {g: sum(n for h, _, n in rows if h == g) for g, _, _ in rows}
+        assert got == sorted((g, v, int(2 * v + 2) if g == "m" else 3, size[g]) for g, v, _ in rows)
+
+
+def test_grouped_quantiles_never_join_by_group(spark):
+    rows, df = grouped(spark, 3000, ["a", "b", "z", None])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ordered.quantiles(df, "v", {"q": 0.35}, by=["g"], weight="n")
+        got = {r["g"]: r["q"] for r in out.collect()}
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for g in ("m", "a", "b", "z", None):
+        assert got[g] == pytest.approx(np.quantile(np.repeat([v for h, v, _ in rows if h == g], [n for h, _, n in rows if h == g]), 0.35), abs=1e-9)
+    assert set(got) == {"m", "a", "b", "z", None}
+
+
 def test_rank_min_shares_the_smallest_rank(spark):
     df = frame(spark, [("a", 5, 1.0), ("b", 9, 1.0), ("c", 5, 2.0), ("d", 1, None)], "SKU string, x int, y double")
     got = {r["SKU"]: (r["rx"], r["ry"]) for r in ordered.rank_min(df, {"x": "rx", "y": "ry"}).collect()}
