@@ -110,6 +110,11 @@ def _(c):
     return fingerprints.file_fingerprint(c.spark, c.sf_dir, "*.parquet")
 
 
+@query("file_tree_fingerprint")
+def _(c):
+    return fingerprints.tree_fingerprint(c.spark, c.sf_dir, "*.parquet")
+
+
 @query("assert_unchanged", "SELECT 'sales_daily' AS file, 'changed' AS change")
 def _(c):
     before = fingerprints.table_fingerprint(c.sales, "sales_daily").unionByName(fingerprints.table_fingerprint(c.master, "sku_master"))

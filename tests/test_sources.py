@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 
@@ -61,3 +62,29 @@ def test_fingerprints_of_tables_in_folders_keep_part_files_apart(spark, tmp_path
         (tmp_path / name / "part-0.txt").write_text(name)
     got = {r["file"]: r["bytes"] for r in fingerprints.file_fingerprint(spark, str(tmp_path), "*.txt").collect()}
     assert got == {"one/part-0.txt": 3, "two/part-0.txt": 3}
+
+
+def tree(content, block):
+    """The hash tree by itself, from whole contents."""
+    level = [hashlib.sha256(b"\0" + content[i : i + block]).digest() for i in range(0, max(len(content), 1), block)]
+    for _ in range(fingerprints.LEVELS):
+        level = [hashlib.sha256(b"\1" + b"".join(level[i : i + fingerprints.FANOUT])).digest() for i in range(0, len(level), fingerprints.FANOUT)]
+    return level[0].hex()
+
+
+def test_tree_fingerprints_equal_the_tree_over_whole_contents(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    contents = {"empty.bin": b"", "one.bin": b"x", "edge.bin": bytes(range(256)), "d/a b%20c.bin": bytes(i * 7 % 251 for i in range(200_000)), "d/same.bin": b"x"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["file"]: r for r in fingerprints.tree_fingerprint(spark, str(tmp_path), "*.bin", 128).collect()}
+    assert {n: (r["bytes"], r["blocks"], r["tree_sha256"]) for n, r in got.items()} == {
+        n: (len(c), max(1, -(-len(c) // 128)), tree(c, 128)) for n, c in contents.items() if c
+    }
+    # More than one node: swapping two blocks far apart is seen.
+    changed = bytearray(contents["d/a b%20c.bin"])
+    changed[:128], changed[-192:-64] = changed[-192:-64], changed[:128]
+    (tmp_path / "d/a b%20c.bin").write_bytes(bytes(changed))
+    after = fingerprints.tree_fingerprint(spark, str(tmp_path), "*.bin", 128)
+    before = spark.createDataFrame(list(got.values()), after.schema)
+    assert [(r["file"], r["change"]) for r in fingerprints.assert_unchanged(before, after).collect()] == [("d/a b%20c.bin", "changed")]
