@@ -81,7 +81,8 @@ def fit_language_model(records: DataFrame, text: str, language: str, labelled_ro
     rows = records.select(F.col(text).alias("t"), F.col(language).alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
     spread = 1 << 30
     shares = rows.groupBy("l").agg(F.least(F.lit(spread), F.ceil(F.lit(labelled_rows * spread) / F.count(F.lit(1)))).alias("share"))
-    rows = rows.join(shares, "l").where(F.pmod(F.xxhash64("t"), F.lit(spread)) < F.col("share"))
+    # One row per language, as many as the model itself sends to every task; else all texts would meet in one task per language.
+    rows = rows.join(F.broadcast(shares), "l").where(F.pmod(F.xxhash64("t"), F.lit(spread)) < F.col("share"))
     words = rows.select("l", F.explode(F.split(F.lower("t"), "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).alias("w")).where("w <> ''")
     found = words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")).toPandas()
     if not len(found):
